@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the cluster delete shuffle files of plans that nothing refers to any longer."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus; null ids give null."""
     return F.crc32(F.col(column).cast("string")) % modulus

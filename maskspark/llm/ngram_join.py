@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskspark.llm.common import map_pieces, materialize
+from maskspark.llm.common import map_pieces, materialize, release
 
 #: Shingles that get a rank in the global order by frequency; the others come first, by hash. A bound on broadcast data (3 MB), not on what is compared.
 RANKED_SHINGLES = 1 << 18
@@ -48,17 +48,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word k-shingles, A-Z lower-cased."""
-    words = (text or b"").lower().split()  # bytes: exactly the six ASCII blanks, and only A-Z change
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    width = min(k, len(words))
-    acc = np.full(len(words) - width + 1, width, np.uint64)
+#: A random number for each byte at each place of a word (modulo PLACES): sums of them are word hashes.
+PLACES = 64
+_TABLE = _mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _GOLD)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word of the texts, A-Z lower-cased, and each text's count of words."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    blank = _BLANK[data]
+    start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    size = np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - start
+    at = np.flatnonzero(~blank)
+    first = np.cumsum(size) - size
+    place = at - np.repeat(start, size)
+    values = _TABLE[(place % PLACES) * 256 + _LOWER[data[at]]]
+    if len(size) and size.max() > PLACES:
+        values = _mix(values + (place // PLACES).astype(np.uint64) * _GOLD)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(start, ends, side="left"), prepend=0)
+    hashes = np.add.reduceat(values, first) if len(first) else np.empty(0, np.uint64)
+    return _mix(hashes + size.astype(np.uint64) * _GOLD), counts
+
+
+def _combined(hashes: np.ndarray, width: int) -> np.ndarray:
+    acc = np.full(max(0, len(hashes) - width + 1), width, np.uint64)
     for i in range(width):
         acc = _mix(acc * _GOLD + hashes[i : i + len(acc)])
-    return np.unique(acc)
+    return acc
+
+
+def shingle_sets(texts: list[bytes | None], k: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word k-shingles."""
+    hashes, counts = _word_hashes([t or b"" for t in texts])
+    all_ = _combined(hashes, k)
+    out, start = [], 0
+    for n in counts:
+        if n >= k:
+            s = np.sort(all_[start : start + n - k + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        else:
+            out.append(_combined(hashes[start : start + n], n) if n else np.empty(0, np.uint64))
+        start += n
+    return out
 
 
 def _class_of(s: np.ndarray) -> int | None:
@@ -106,8 +142,7 @@ def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
 
         def step(piece: pa.RecordBatch) -> dict:
             ids, sizes, classes = piece["doc_id"].to_pylist(), [], []
-            for text in piece["text"].cast(pa.binary()).to_pylist():
-                s = shingle_set(text, k)
+            for s in shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), k):
                 c = _class_of(s)
                 sizes.append(len(s))
                 classes.append(c)
@@ -196,8 +231,7 @@ def _postings(docs: DataFrame, k: int, boundary: int, percent: int, order) -> Da
 
         def step(piece: pa.RecordBatch) -> dict:
             keys, owners, sizes, places = [], [], [], []
-            for text in piece["text"].cast(pa.binary()).to_pylist():
-                s = shingle_set(text, k)
+            for s in shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), k):
                 c = _class_of(s)
                 if len(s) < 3 or c in seen:  # smaller sets link with equal ones only
                     continue
@@ -223,8 +257,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
         def step(piece: pa.RecordBatch) -> dict:
             out = {"cls": [], "n": [], "elements": []}
-            for c, text in zip(piece["cls"].to_pylist(), piece["text"].cast(pa.binary()).to_pylist(), strict=True):
-                s = shingle_set(text, k)
+            for c, s in zip(piece["cls"].to_pylist(), shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), k), strict=True):
                 if _class_of(s) != c or c in done:
                     continue
                 done.add(c)
@@ -308,13 +341,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     entry = _postings(docs, k, boundary, percent, order).repartition("key").distinct()
     left = F.col("n") - F.when(F.col("place") >= 0, F.col("place")).otherwise(F.floor((-1 - F.col("place")) / 1024).cast("int") - 1)
     entry = entry.withColumn("cap", (F.floor(left.cast("long") * (100 + percent) / percent) - F.col("n")).cast("int"))
-    lists = entry.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("least"), F.max("cap").alias("most")).where("held > 1")
-    live = entry.join(lists, "key").where("least <= cap and n <= most").select("key", "cls", "n", "place", "cap")
+    mates = Window.partitionBy("key")
+    live = entry.withColumns({"held": F.count(F.lit(1)).over(mates), "least": F.min("n").over(mates), "most": F.max("cap").over(mates)})
+    live = live.where("held > 1 and least <= cap and n <= most").select("key", "cls", "n", "place", "cap", "held")
     live = materialize(live, "live")
-
-    standing = ids.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = live.select("cls").distinct().join(standing, "cls")
-    sets = materialize(_sets_of(docs, wanted, k), "sets")
+    release(spark)
 
     fits = lambda x, y: (F.col(f"{x}n") <= F.col(f"{y}cap")) & (F.col(f"{y}n") <= F.col(f"{x}cap")) & ((F.col(f"{x}place") < 0) | (F.greatest(F.col(f"{x}n"), F.col(f"{y}n")) > boundary))
     w = Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(17)), "cls")
@@ -325,7 +356,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     near = near.select(me.alias("me"), F.explode(F.array_compact(F.array(*[f"next{s}" for s in range(1, NEIGHBOURS + 1)]))).alias("you"))
     pairs = near.where(fits("me.", "you.")).select(F.least("me.cls", "you.cls").alias("a"), F.greatest("me.cls", "you.cls").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
+
+    # Lists of up to NEIGHBOURS + 1 sets are now compared in full; only the sets of these pairs and of longer lists are ever needed.
+    standing = ids.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(live.where(F.col("held") > NEIGHBOURS + 1).select("cls")).distinct()
+    sets = materialize(_sets_of(docs, needed.join(standing, "cls"), k), "sets")
+    release(spark)
     roots = components(_verified(pairs, sets, percent))
+    release(spark)
 
     # Pairs across components, each at its first common key; lists within one component are done.
     member = live.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
