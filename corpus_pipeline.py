@@ -3,16 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from maskspark.llm.common import materialize, remainder, table
+
+#: Least share of a text's letters in one language for the text to stay.
+LEAST_SHARE = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or a certified cutoff go."""
+    from maskspark.llm.quality import kept_rows
+
+    return kept_rows(docs, table(spark, sf_dir, "labels"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised main language go. The model learns from rows outside the held-out ones, as the operator's own query does."""
+    from maskspark.llm import language
+
+    return language.recognised(docs, language.train(docs.where(remainder("doc_id", 4) != 2)), LEAST_SHARE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one with the smallest id stays; empty ones stay."""
+    from maskspark.llm.ngram_join import jaccard_components
+
+    found = jaccard_components(docs, k=5, percent=75)
+    stay = materialize(found.where("doc_id <=> component_id").select("doc_id").distinct(), "stay")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    return kept
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is masked; n_chars follows the new text."""
+    from maskspark.llm.pii import redact
+
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from maskspark.llm.packing import pack
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language id", language_id),
+    ("n-gram jaccard join", near_duplicates),
+    ("pii", personal_data),
+    ("best-fit packing", packing),
+]
 
 #: The stages are not expressible in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from maskspark.llm.common import materialize, table
-
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

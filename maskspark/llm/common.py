@@ -51,6 +51,11 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = BYTES_PER_PIECE) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds about limit bytes of column (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()

@@ -24,7 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskspark.llm.common import map_pieces, materialize, release
@@ -37,6 +37,8 @@ COUNT_BLOCK = 1 << 21
 LARGEST_LIGHT = 48
 #: Neighbours compared with each entry of an inverted list in the first round.
 NEIGHBOURS = 4
+#: Pairs compared in one group of the verification.
+PAIRS_AT_ONCE = 1000
 
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -133,15 +135,20 @@ def choose_boundary(sizes: dict[int, int], scan: float, percent: int = 75) -> in
     return min(costs, key=lambda x: (costs[x], x))
 
 
+def _tag() -> Column:
+    """What finds a document again: its id, else a hash of its text."""
+    return F.coalesce("doc_id", F.xxhash64("text")).alias("tag")
+
+
 def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (kind 0: doc_id, n, class) and (kind 1: shingle, count) for shingles repeated among the distinct sets of a block of a task."""
+    """Rows (kind 0: doc_id, tag, n, class) and (kind 1: shingle, count) for shingles repeated among the distinct sets of a block of a task."""
 
     def make():
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
         def step(piece: pa.RecordBatch) -> dict:
-            ids, sizes, classes = piece["doc_id"].to_pylist(), [], []
+            ids, sizes, classes = (piece["doc_id"].to_pylist(), piece["tag"].to_pylist()), [], []
             for s in shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), k):
                 c = _class_of(s)
                 sizes.append(len(s))
@@ -163,7 +170,7 @@ def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
 
         def last() -> dict:
             u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            return _rows([], [], [], u[c > 1], c[c > 1])
+            return _rows(([], []), [], [], u[c > 1], c[c > 1])
 
         step.last = last
         return step
@@ -171,13 +178,14 @@ def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
     def _rows(ids, sizes, classes, hashes, counts):
         m = len(hashes)
         return {
-            "kind": [0] * len(ids) + [1] * m,
-            "doc_id": ids + [None] * m,
+            "kind": [0] * len(sizes) + [1] * m,
+            "doc_id": ids[0] + [None] * m,
+            "tag": ids[1] + [None] * m,
             "n": sizes + [int(x) for x in counts],
             "key": classes + hashes.astype(np.int64).tolist(),
         }
 
-    return _map_with_last(docs.select("doc_id", "text"), "kind int, doc_id long, n long, key long", make)
+    return _map_with_last(docs.select("doc_id", "text", _tag()), "kind int, doc_id long, tag long, n long, key long", make)
 
 
 def _map_with_last(df: DataFrame, schema: str, make) -> DataFrame:
@@ -249,55 +257,52 @@ def _postings(docs: DataFrame, k: int, boundary: int, percent: int, order) -> Da
     return map_pieces(docs.select("text"), "text", "key long, cls long, n int, place int", make)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, n, elements) for the documents that stand for the wanted classes."""
+def _verified(pairs: DataFrame, docs: DataFrame, standing: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold. Pairs that share classes are
+    compared in one block, so that a set travels about once; no block has many more than
+    PAIRS_AT_ONCE pairs, and a class's partners are spread over blocks beyond that."""
+    blocks = max(1, -(-pairs.count() // PAIRS_AT_ONCE))
+    low = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    named = pairs.join(low, "a").join(low.toDF("b", "low_b"), "b").select("a", "b", F.least("low", "low_b").alias("low"))
+    crowd = named.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / PAIRS_AT_ONCE).alias("crowd"))
+    block = F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("a", F.when(F.col("crowd") > 4, F.pmod(F.xxhash64("b"), F.ceil(F.sqrt("crowd"))))), "crowd")), F.lit(blocks)).cast("int")
+    named = materialize(named.join(crowd, "low").select("a", "b", block.alias("block")), "blocks")
+    wanted = named.select("block", F.col("a").alias("cls")).union(named.select("block", "b")).distinct().groupBy("cls").agg(F.collect_list("block").alias("blocks"))
+    found = docs.select("text", _tag()).join(wanted.join(standing.select("cls", "tag"), "cls"), "tag").select("cls", "blocks", "text")
 
     def make():
-        done: set[int] = set()
-
         def step(piece: pa.RecordBatch) -> dict:
-            out = {"cls": [], "n": [], "elements": []}
-            for c, s in zip(piece["cls"].to_pylist(), shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), k), strict=True):
-                if _class_of(s) != c or c in done:
-                    continue
-                done.add(c)
-                low = np.unique(s & np.uint64((1 << 48) - 1))
-                out["cls"].append(c)
-                out["n"].append(len(s))
-                out["elements"].append(low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            out = {"block": [], "cls": [], "n": [], "elements": []}
+            sets = shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), k)
+            for c, where, s in zip(piece["cls"].to_pylist(), piece["blocks"].to_pylist(), sets, strict=True):
+                if _class_of(s) == c:
+                    packed = np.unique(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                    for b in where:
+                        for name, x in zip(out, (b, c, len(s), packed), strict=True):
+                            out[name].append(x)
             return out
 
         return step
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id")
-    return map_pieces(found.select("cls", "text"), "text", "cls long, n int, elements binary", make)
-
+    sets = map_pieces(found, "text", "block int, cls long, n long, elements binary", make)
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    def wide(x: bytes) -> np.ndarray:
+        out = np.zeros((len(x) // 6, 8), np.uint8)
+        out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        return out.view(np.uint64).ravel()
 
-    def run(batches):
+    def compare(these: pa.Table, held: pa.Table) -> pa.Table:
         t = _Threshold(percent)
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def wide(x: bytes) -> np.ndarray:
-            out = np.zeros((len(x) // 6, 8), np.uint8)
-            out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-            return out.view(np.uint64).ravel()
+        sets = dict(zip(held["cls"].to_pylist(), zip(held["n"].to_pylist(), held["elements"].to_pylist(), strict=True), strict=True))
+        keep, last, mine = [], None, np.empty(0, np.uint64)
+        for a, b in sorted(zip(these["a"].to_pylist(), these["b"].to_pylist(), strict=True)):
+            if a != last:
+                last, mine = a, wide(sets[a][1])
+            if t.linked(len(np.intersect1d(mine, wide(sets[b][1]), assume_unique=True)), sets[a][0], sets[b][0]):
+                keep.append((a, b))
+        return pa.table({"a": pa.array([x[0] for x in keep], pa.int64()), "b": pa.array([x[1] for x in keep], pa.int64())})
 
-        for batch in batches:
-            keep = []
-            last, mine = None, None
-            for a, b, n, m, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "n", "m", "x", "y")), strict=True):
-                if a != last:
-                    last, mine = a, wide(x)
-                if t.linked(len(np.intersect1d(mine, wide(y), assume_unique=True)), n, m):
-                    keep.append((a, b))
-            yield pa.RecordBatch.from_pydict({"a": [x[0] for x in keep], "b": [x[1] for x in keep]}, schema=schema)
-
-    one = sets.select(F.col("cls").alias("a"), "n", F.col("elements").alias("x"))
-    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("elements").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return named.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -323,7 +328,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     for empty sets), component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     scan = materialize(_scan_docs(docs, k), "scan")
-    ids = scan.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("cls"))
+    ids = scan.where("kind = 0").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.col("key").alias("cls"))
     frequent = (
         scan.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).where("c >= 4").orderBy(F.desc("c"), "key").limit(RANKED_SHINGLES).toArrow()
     )
@@ -343,7 +348,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     entry = entry.withColumn("cap", (F.floor(left.cast("long") * (100 + percent) / percent) - F.col("n")).cast("int"))
     mates = Window.partitionBy("key")
     live = entry.withColumns({"held": F.count(F.lit(1)).over(mates), "least": F.min("n").over(mates), "most": F.max("cap").over(mates)})
-    live = live.where("held > 1 and least <= cap and n <= most").select("key", "cls", "n", "place", "cap", "held")
+    live = live.where("held > 1 and least <= cap and n <= most").select("key", "cls", "n", "place", "cap")
     live = materialize(live, "live")
     release(spark)
 
@@ -357,12 +362,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     pairs = near.where(fits("me.", "you.")).select(F.least("me.cls", "you.cls").alias("a"), F.greatest("me.cls", "you.cls").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
 
-    # Lists of up to NEIGHBOURS + 1 sets are now compared in full; only the sets of these pairs and of longer lists are ever needed.
-    standing = ids.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(live.where(F.col("held") > NEIGHBOURS + 1).select("cls")).distinct()
-    sets = materialize(_sets_of(docs, needed.join(standing, "cls"), k), "sets")
-    release(spark)
-    roots = components(_verified(pairs, sets, percent))
+    standing = ids.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("tag").alias("tag"))
+    roots = components(_verified(pairs, docs, standing, k, percent))
     release(spark)
 
     # Pairs across components, each at its first common key; lists within one component are done.
@@ -378,7 +379,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     all_ = open_.alias("y")
     rest = few.join(all_, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))) & fits("x.", "y."))
     rest = rest.where(F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    more = _verified(rest.distinct().join(pairs, ["a", "b"], "left_anti"), sets, percent)
+    rest = materialize(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = _verified(rest, docs, standing, k, percent)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = standing.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskspark.llm.common import table
+from maskspark.llm.common import remainder, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,15 +16,83 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskspark.llm.url_filter import RULES, filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskspark.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    own = remainder("doc_id", 3) != 1
+    return toxicity.score(docs, toxicity.train(docs.where(own), labels.where(own)), "crc32(cast(doc_id as string)) % 3 = 1")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskspark.llm.pii import find_personal_data
 
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from maskspark.llm.bpe import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskspark.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskspark.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    found = language.identify(docs, language.train(docs.where(~held_out)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from maskspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskspark.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskspark.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op4_pii": op4_pii,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_url_filters,
+        op3_toxicity,
+        op4_pii,
+        op5_byte_bpe,
+        op6_media_columns,
+        op7_language_id,
+        op8_best_fit_packing,
+        op9_quality_rules,
+        op10_secret_scans,
+    )
 }
 
 SQL: dict[str, str] = {}

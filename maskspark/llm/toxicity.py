@@ -26,7 +26,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskspark.llm.common import map_pieces, texts
@@ -167,15 +167,24 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.model.slope * self.total(text) + self.model.offset))))
 
 
+def _salt(seed: Column) -> Callable[[Column], Column]:
+    return lambda word: F.xxhash64(word, seed)
+
+
+def _stems(size: int) -> Column:
+    return F.transform(F.filter("words", lambda x: F.length(x) > size), lambda x: F.concat(F.lit(str(size)), F.substring(x, 1, size)))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic) of the training sample: at most `rows` labelled rows of each class; near copies, which share the least hash of their long words, once."""
     w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("doc_id", "toxic")
     chosen = docs.join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic", F.split(F.lower("text"), r"[^\p{L}\p{M}']+").alias("words"))
-    for seed in range(3):
-        long_ = F.filter("words", lambda x: F.length(x) >= 8)
-        chosen = chosen.withColumn("sketch", F.coalesce(F.array_min(F.transform(long_, lambda x, s=seed: F.xxhash64(x, F.lit(s)))), F.xxhash64("text"))).dropDuplicates(["toxic", "sketch"])
+    long_ = F.filter("words", lambda x: F.length(x) >= 8)
+    for seed in map(F.lit, range(3)):
+        least = F.array_min(F.transform(long_, _salt(seed)))
+        chosen = chosen.withColumn("sketch", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["toxic", "sketch"])
     return chosen.select("text", "toxic", "words")
 
 
@@ -188,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     good, bad = held.get(0, 0), held.get(1, 0)
     if not good or not bad:
         return Model(offset=20.0 if bad else -20.0)
-    features = F.flatten(F.array(F.transform("words", lambda x: F.concat(F.lit("0"), x)), *(F.transform(F.filter("words", lambda x, n=n: F.length(x) > n), lambda x, n=n: F.concat(F.lit(str(n)), F.substring(x, 1, n))) for n in STEMS)))
+    features = F.flatten(F.array(F.transform("words", lambda x: F.concat(F.lit("0"), x)), *map(_stems, STEMS)))
     counted = sample.select("toxic", F.explode(F.array_distinct(features)).alias("f")).groupBy("f").agg(F.sum(F.col("toxic")).alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     share = (F.col("bad") + 0.5) / (F.col("good") + F.col("bad") + 1)
     gain = F.col("bad") * F.log(share / (bad / (good + bad))) + F.col("good") * F.log((1 - share) / (good / (good + bad)))
