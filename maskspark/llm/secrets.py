@@ -39,7 +39,7 @@ BASE = KINDS[:3]
 
 def matches(text: Column, pattern: str, hint: str) -> Column:
     """The leftmost non-overlapping matches of pattern: array of (s, e, m). hint: a pattern without which there is none."""
-    whole = F.lit(rf"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"\G(?s)(.*?)({pattern})")
     cut = lambda t: F.zip_with(
         F.regexp_extract_all(t, whole, F.lit(1)),
         F.regexp_extract_all(t, whole, F.lit(0)),

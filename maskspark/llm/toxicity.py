@@ -33,9 +33,11 @@ from maskspark.llm.common import map_pieces, texts
 
 TRAIN_ROWS = 3000
 #: Log-likelihood by which a word or stem must favour label 1 to count as an insult.
-EVIDENCE = 18.0
+EVIDENCE = 14.0
 LEXICON = 4000
-STEMS = (4, 5, 6)
+#: Log odds that a word or stem needs, and lengths of stems.
+ODDS = 1.5
+STEMS = (4, 5, 6, 7, 8)
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Word lists (fixed values), in English, German, French and Spanish.
@@ -116,7 +118,7 @@ def grammar() -> Transducer:
 class Model:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = -20.0
 
 
@@ -130,10 +132,8 @@ class Scorer:
             self.cues.make_automaton()
 
     def weight(self, word: str) -> float:
-        """The insult weight of a word: its own, or that of its longest known stem."""
-        if (w := self.model.words.get(word)) is not None:
-            return w
-        return next((w for n in reversed(STEMS) if len(word) > n and (w := self.model.stems.get(word[:n])) is not None), 0.0)
+        """The insult weight of a word: the most of its own and its stems'."""
+        return max(self.model.words.get(word, 0.0), *(self.model.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n), 0.0)
 
     def clause(self, words: list[str]) -> float:
         state, total = self.machine.start, 0.0
@@ -160,11 +160,14 @@ class Scorer:
                 found.append((start, stop, score))
         return found
 
-    def total(self, text: str) -> float:
-        return math.log1p(sum(x[2] for x in self.clauses(text)))
+    def measures(self, text: str) -> tuple[float, float]:
+        """The clauses' scores, added, and the same for each hundred words; both as logarithms."""
+        total = sum(x[2] for x in self.clauses(text))
+        return math.log1p(total), math.log1p(100 * total / (1 + text.count(" ")))
 
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.model.slope * self.total(text) + self.model.offset))))
+        x = self.model.offset + sum(a * b for a, b in zip(self.model.slopes, self.measures(text), strict=True))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
 def _salt(seed: Column) -> Callable[[Column], Column]:
@@ -201,35 +204,47 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counted = sample.select("toxic", F.explode(F.array_distinct(features)).alias("f")).groupBy("f").agg(F.sum(F.col("toxic")).alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     share = (F.col("bad") + 0.5) / (F.col("good") + F.col("bad") + 1)
     gain = F.col("bad") * F.log(share / (bad / (good + bad))) + F.col("good") * F.log((1 - share) / (good / (good + bad)))
-    best = counted.where(F.length("f") > 3).withColumn("gain", gain).where((F.col("gain") >= EVIDENCE) & (F.col("good") * bad <= 0.02 * F.col("bad") * good)).orderBy(F.desc("gain"), "f").limit(LEXICON).collect()
-    model = Model(slope=1.0)
-    for r in best:
-        weight = math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1))
-        (model.words if r.f[0] == "0" else model.stems)[r.f[1:]] = weight
-    scorer_model = docs.sparkSession.sparkContext.broadcast(model)
+    best = counted.where(F.length("f") > 3).withColumn("gain", gain).where((F.col("gain") >= EVIDENCE) & ((F.col("bad") + 0.5) / (bad + 1) >= math.exp(ODDS) * (F.col("good") + 0.5) / (good + 1))).orderBy(F.desc("gain"), "f").limit(LEXICON).collect()
+    weight = {r.f: math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1)) for r in best}
+    seen = {r.f: r.bad for r in best}
+    model = Model()
+    for name in weight:
+        (model.words if name[0] == "0" else model.stems)[name[1:]] = weight[name]
+    # A stem that owes its evidence to a longer stem or a word goes.
+    for name in weight:
+        for n in STEMS:
+            stem = f"{n}{name[1:][:n]}"
+            if len(name) - 1 >= n and stem != name and stem in weight and seen[name] >= 0.8 * seen[stem] and weight[name] >= weight[stem]:
+                model.stems.pop(stem[1:], None)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = Scorer(scorer_model.value)
-        return lambda piece: {"toxic": piece["toxic"], "total": [scorer.total(t) for t in texts(piece)]}
+        scorer = Scorer(shared.value)
+
+        def step(piece: pa.RecordBatch) -> dict:
+            found = [scorer.measures(t) for t in texts(piece)]
+            return {"toxic": piece["toxic"], "x": [v[0] for v in found], "y": [v[1] for v in found]}
+
+        return step
 
-    points = map_pieces(sample.select("text", F.col("toxic").cast("long").alias("toxic")), "text", "toxic long, total double", make).toArrow()  # at most 2 * rows
-    model.slope, model.offset = _logistic(points["total"].to_numpy(), points["toxic"].to_numpy())
+    points = map_pieces(sample.select("text", F.col("toxic").cast("long").alias("toxic")), "text", "toxic long, x double, y double", make).toArrow()  # at most 2 * rows
+    *slopes, model.offset = _logistic(np.stack([points["x"].to_numpy(), points["y"].to_numpy()], 1), points["toxic"].to_numpy())
+    model.slopes = tuple(slopes)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a weak prior, which keeps separable data finite."""
-    a, b = 1.0, -1.0
+def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Slopes and offset by Newton's method with a weak prior, which keeps separable data finite."""
+    x = np.column_stack([x, np.ones(len(x))])
+    prior = np.array([1e-2] * (x.shape[1] - 1) + [1e-3])
+    w = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum() + 1e-3 * b])
-        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(prior), x.T @ (p - y) + prior * w)
+        w = w - step
         if abs(step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return [float(v) for v in w]
 
 
 def score(docs: DataFrame, model: Model, held_out: str = "false") -> DataFrame:

@@ -47,7 +47,7 @@ def test_language_of_mixed_text(spark):
 
 
 def test_grammar():
-    scorer = toxicity.Scorer(toxicity.Model(words={"idiot": 2.0}, stems={"mor": 1.0}, slope=1, offset=-1))
+    scorer = toxicity.Scorer(toxicity.Model(words={"idiot": 2.0}, stems={"moro": 1.0}, slopes=(1.0, 0.0), offset=-1))
     one = lambda t: sum(x[2] for x in scorer.clauses(t))
     assert one("nothing here.") == 0 and one("an idiot.") == 2
     assert one("you idiot") > one("an idiot") > one("never an idiot")
