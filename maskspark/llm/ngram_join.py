@@ -353,7 +353,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     release(spark)
 
     fits = lambda x, y: (F.col(f"{x}n") <= F.col(f"{y}cap")) & (F.col(f"{y}n") <= F.col(f"{x}cap")) & ((F.col(f"{x}place") < 0) | (F.greatest(F.col(f"{x}n"), F.col(f"{y}n")) > boundary))
-    w = Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(17)), "cls")
+    w = Window.partitionBy("key").orderBy(F.xxhash64("cls", "key"), "cls")
     near = live
     for s in range(1, NEIGHBOURS + 1):
         near = near.withColumn(f"next{s}", F.lead(F.struct("cls", "n", "cap", "place"), s).over(w))
