@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
-A text is split by a pattern; every distinct piece of a batch becomes a row of a padded matrix
-of its length bucket. In each round every row merges its leftmost pair of least rank, found in
-a hashed pair table, and is compacted; rows without a pair are finished. Pieces longer than the
-widest bucket go through the same merges one by one with a heap, so that time stays near linear.
+Texts are cut at single blanks (which the pattern never crosses) and by the pattern; every
+distinct piece of a batch becomes a row of a padded matrix of its length bucket. In each round
+every row merges its leftmost pair of least rank, found in a hashed pair table, and is compacted;
+rows without a pair are finished. Pieces longer than the widest bucket go through the same merges
+one by one with a heap, so that time stays near linear.
 
 Edge cases. Null and empty texts: no ids. Whole texts are encoded; very long ones in blocks of
 pieces. Special tokens have no meaning: their strings are ordinary text. Repeated rows each give
@@ -15,8 +16,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,21 @@ import regex
 from pyspark.sql import DataFrame
 
 from maskspark.llm.common import map_pieces, texts
+from maskspark.llm.lexicon import Memory, numbered, per_worker, put_together
 
 #: Widest row of a matrix, in bytes.
 WIDEST = 512
-#: Distinct pieces whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 250_000
-#: Pieces of one text handled at once.
-BLOCK = 200_000
+#: Distinct chunks in each of the two generations that a worker remembers; a full one becomes the old one.
+REMEMBERED = 300_000
+#: Characters of one text handled at once; blocks end at single blanks, where nothing is joined.
+BLOCK = 1 << 20
 #: Cells of one matrix.
 CELLS = 1 << 20
 
 _NONE = np.int32(2**31 - 1)
+_RUN = regex.compile(r"\s\s")
+#: The character before a blank that stands alone.
+_BLANK = regex.compile(r"\S(?=\x20\S)")
 
 
 class PairTable:
@@ -97,48 +102,61 @@ class Codec:
                     values.append(rank)
         self.pairs = PairTable(np.array(keys, np.int64), np.array(values, np.int32))
         self.pair_of = dict(zip(keys, values, strict=True)) if size < 1 << 20 else {}
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.shown = [str(i) for i in range(size)]
+        self.memory = Memory(REMEMBERED)
 
-    def merge(self, rows: list[bytes]) -> list[np.ndarray]:
+    def merge(self, rows: list[bytes]) -> list[list[int]]:
         """The ids of each row, by length-bucketed matrices."""
-        out: list[np.ndarray] = [None] * len(rows)
+        out: list[list[int]] = [None] * len(rows)
         buckets: dict[int, list[int]] = {}
         for i, row in enumerate(rows):
-            if len(row) > WIDEST:
+            n = len(row)
+            if n > WIDEST:
                 out[i] = self._merge_long(row)
             else:
-                buckets.setdefault(max(2, (len(row) - 1).bit_length()), []).append(i)
-        for bits, members in buckets.items():
-            step = max(1, CELLS >> bits)
+                buckets.setdefault(n if n <= 16 else -(-n // 8) * 8 if n <= 64 else 1 << (n - 1).bit_length(), []).append(i)
+        for width, members in buckets.items():
+            step = max(1, CELLS // width)
             for at in range(0, len(members), step):
-                self._merge_bucket(rows, members[at : at + step], 1 << bits, out)
+                self._merge_bucket(rows, members[at : at + step], width, out)
         return out
 
     def _merge_bucket(self, rows: list[bytes], members: list[int], width: int, out: list) -> None:
         sizes = np.array([len(rows[i]) for i in members])
         ids = np.zeros((len(members), width), np.int32)
         ids[np.arange(width) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(rows[i] for i in members), np.uint8)]
-        owner = np.array(members)
-        while len(owner):
-            width = ids.shape[1]
-            ranks = np.full((len(owner), max(1, width - 1)), _NONE, np.int32)
+        ranks = np.full((len(members), width), _NONE, np.int32)  # of each pair, by its left place
+        if width > 1:
             r, c = np.nonzero(np.arange(1, width) < sizes[:, None])
             ranks[r, c] = self.pairs.get(ids[r, c], ids[r, c + 1])
+        owner = np.array(members)
+        while len(owner):
+            row = np.arange(len(owner))
             best = ranks.argmin(1)  # the leftmost least
-            rank = ranks[np.arange(len(owner)), best]
+            rank = ranks[row, best]
             done = rank == _NONE
-            for k in np.flatnonzero(done):
-                out[owner[k]] = ids[k, : sizes[k]].copy()
-            ids, sizes, owner, best, rank = ids[~done], sizes[~done], owner[~done], best[~done], rank[~done]
-            if not len(owner):
-                return
-            ids[np.arange(len(owner)), best] = rank
-            move = np.arange(width - 1) > best[:, None]
-            ids = np.where(move, ids[:, 1:], ids[:, :-1])
+            if done.any():
+                for k, n, found in zip(owner[done].tolist(), sizes[done].tolist(), ids[done].tolist(), strict=True):
+                    out[k] = found[:n]
+                left = ~done
+                ids, ranks, sizes, owner, best, rank = ids[left], ranks[left], sizes[left], owner[left], best[left], rank[left]
+                row = np.arange(len(owner))
+                if not len(owner):
+                    return
+            width = int(sizes.max())
+            ids, ranks = ids[:, :width], ranks[:, :width]
+            ids[row, best] = rank
+            after = np.arange(width - 1) > best[:, None]
+            ids = np.where(after, ids[:, 1:], ids[:, :-1])
+            ranks = np.where(after, ranks[:, 1:], ranks[:, :-1])
             sizes = sizes - 1
-            ids = ids[:, : max(1, sizes.max())]
+            right = best < sizes - 1
+            ranks[row, best] = _NONE
+            ranks[row[right], best[right]] = self.pairs.get(ids[row[right], best[right]], ids[row[right], best[right] + 1])
+            first = best > 0
+            ranks[row[first], best[first] - 1] = self.pairs.get(ids[row[first], best[first] - 1], ids[row[first], best[first]])
 
-    def _merge_long(self, row: bytes) -> np.ndarray:
+    def _merge_long(self, row: bytes) -> list[int]:
         ids = self.byte_ids[np.frombuffer(row, np.uint8)].tolist()
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -156,43 +174,64 @@ class Codec:
             for a in (before[i], i):
                 if a >= 0 and after[a] < n and (new := get(ids[a] << 20 | ids[after[a]])) is not None:
                     heapq.heappush(heap, (new, a))
-        return np.array([x for x, live in zip(ids, alive, strict=True) if live], np.int32)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        rows, owners = [], []
-        for word in words:
-            raw = word.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.known[word] = (np.int32(whole).tobytes(), str(whole))
+        return [x for x, live in zip(ids, alive, strict=True) if live]
+
+    def _learn(self, chunks: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of chunks and their decimal form; the pieces that no chunk shares are merged together."""
+        pieces = [self.pattern.findall(x) for x in chunks]
+        fresh = list({p for found in pieces for p in found})
+        raw = [p.encode() for p in fresh]
+        ids = [None if (w := self.ranks.get(b)) is None else [w] for b in raw]
+        todo = [i for i, w in enumerate(ids) if w is None]
+        for i, found in zip(todo, self.merge([raw[i] for i in todo]), strict=True):
+            ids[i] = found
+        of, shown, out = dict(zip(fresh, ids, strict=True)), self.shown, []
+        for found in pieces:
+            all_ = of[found[0]] if len(found) == 1 else [i for p in found for i in of[p]]
+            out.append((array("i", all_).tobytes(), ",".join([shown[i] for i in all_])))
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """Ids and their decimal form for each text. A single blank between two characters that
+        are no white space begins a piece, so texts of such blanks only are cut there; the others
+        are cut by the pattern itself."""
+        whole = [bool(t) and not (_RUN.search(t) or t[0].isspace() or t[-1].isspace()) for t in texts]
+        codes, words, ends = numbered(pa.array([t for t, w in zip(texts, whole, strict=True) if w], pa.string()))
+        keys, extra = [f" {w}" for w in words], {}
+
+        def code(key: str) -> int:
+            return extra.setdefault(key, len(words) + len(extra))
+
+        codes[ends[:-1]] = [code(words[c]) for c in codes[ends[:-1]]]  # nothing stands before a text's first word
+        parts, k = [], 0
+        for text, w in zip(texts, whole, strict=True):
+            if w:
+                parts.append(codes[ends[k] : ends[k + 1]])
+                k += 1
             else:
-                rows.append(raw)
-                owners.append(word)
-        for word, ids in zip(owners, self.merge(rows), strict=True):
-            self.known[word] = (ids.tobytes(), ",".join(map(str, ids.tolist())))
-
-    def blocks(self, text: str) -> Iterator[list[str]]:
-        if len(text) <= 4 * BLOCK:
-            yield self.pattern.findall(text)
-            return
-        found = self.pattern.finditer(text)
-        while block := [m[0] for m in islice(found, BLOCK)]:
-            yield block
+                parts.append(np.array([code(p) for p in self.pattern.findall(text)], np.int64))
+        held = self.memory.find([*keys, *extra], self._learn)
+        all_ = np.concatenate([np.empty(0, np.int64), *parts])
+        ids, before = put_together(all_, [x[0] for x in held])
+        shown, out, at = [x[1] for x in held], [], 0
+        for part in parts:
+            out.append((ids[before[at] : before[at + len(part)]], ",".join([shown[c] for c in part.tolist()])))
+            at += len(part)
+        return out
+
+    def blocks(self, text: str) -> Iterator[str]:
+        """A long text in parts that end before a single blank inside it."""
+        at = 0
+        while len(text) - at > BLOCK:
+            m = _BLANK.search(text, at + BLOCK)
+            if not m:
+                break
+            yield text[at : m.start() + 1]
+            at = m.start() + 1
+        yield text[at:]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in self.encoded(text))])
-
-    def encoded(self, text: str) -> Iterator[tuple[np.ndarray, str]]:
-        """Ids and their decimal form, block by block."""
-        for words in self.blocks(text):
-            if words:
-                if missing := set(words).difference(self.known):
-                    self._learn(missing)
-                    if missing := set(words).difference(self.known):  # it has started anew
-                        self._learn(missing)
-                both = list(map(self.known.__getitem__, words))
-                yield np.frombuffer(b"".join([x[0] for x in both]), np.int32), ",".join([x[1] for x in both])
+        return np.concatenate([np.empty(0, np.int32), *(x[0] for b in self.blocks(text) for x in self.encode_batch([b]))])
 
     def decode(self, ids: np.ndarray) -> bytes:
         out = []
@@ -208,16 +247,19 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs."""
 
     def make():
-        codec = Codec(path, pattern)
+        codec = per_worker(("bpe", path, pattern), lambda: Codec(path, pattern))
 
         def step(piece: pa.RecordBatch) -> dict:
             out = {"doc_id": piece["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in texts(piece):
+            all_ = texts(piece)
+            short = iter(codec.encode_batch([t for t in all_ if len(t) <= BLOCK]))
+            for text in all_:
                 ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-                for ids, shown in codec.encoded(text):
-                    ids_hash.update((("," if n else "") + shown).encode())
-                    text_hash.update(codec.decode(ids))
-                    n += len(ids)
+                for ids, shown in [next(short)] if len(text) <= BLOCK else (x for b in codec.blocks(text) for x in codec.encode_batch([b])):
+                    if len(ids):
+                        ids_hash.update((("," if n else "") + shown).encode())
+                        text_hash.update(codec.decode(ids))
+                        n += len(ids)
                 out["n_tokens"].append(n)
                 out["ids_sha256"].append(ids_hash.hexdigest())
                 out["decoded_sha256"].append(text_hash.hexdigest())
@@ -232,7 +274,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) for every row of docs."""
 
     def make():
-        codec = Codec(path, pattern)
+        codec = per_worker(("bpe", path, pattern), lambda: Codec(path, pattern))
         return lambda piece: {"doc_id": piece["doc_id"], "ids": [codec.encode(t).tolist() for t in texts(piece)]}
 
     return map_pieces(docs.select("doc_id", "text"), "text", "doc_id long, ids array<int>", make)

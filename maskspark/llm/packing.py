@@ -9,79 +9,76 @@ buckets, then assign pieces to the plan's places, so no task holds more than a b
 
 Edge cases. Null counts as empty text: one piece, the end id. Repeated rows each give their
 pieces and places. Null doc_id is kept. Extra columns are ignored. An empty table gives an empty
-result. Whole texts are encoded; very long ones in blocks at blanks, which no token spans.
+result. Whole texts are encoded, of any length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskspark.llm.common import map_pieces, materialize, texts
+from maskspark.llm.common import map_pieces, materialize
+from maskspark.llm.lexicon import Memory, numbered, per_worker, put_together
 
 #: Rounds of multiplicative weights at most, the share of a length that a round covers, and how far from the best a configuration may be.
 ROUNDS, STEP, SLACK = 150, 0.2, 0.01
 #: Buckets of each length within which pieces are ranked, for each task of the piece table.
 BUCKETS = 64
-#: Chunks between blanks whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words in each of the two generations that a worker remembers.
+REMEMBERED = 500_000
 
 
 class Encoder:
-    """Token ids of a text, by chunks between blanks: the tokenizer drops white space, and no merge spans it."""
+    """Token ids of texts, by words between blanks: the tokenizer drops white space, and no merge spans it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def blocks(self, text: str) -> Iterator[bytes]:
-        """The ids as little-endian 32-bit words, block by block."""
-        chunks = text.replace("\n", " ").split(" ")
-        for at in range(0, len(chunks), 1 << 18):
-            part = chunks[at : at + (1 << 18)]
-            missing = set(part).difference(self.known)
-            if missing:
-                if len(self.known) + len(missing) > REMEMBERED:
-                    self.known.clear()
-                    missing = set(part)
-                words = list(missing)
-                for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, part))
+        self.memory = Memory(REMEMBERED)
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 10_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. A letter's full stop or comma is a token of its own anyway, and
+        A-Z is lower-cased anyway, so both are done first, which leaves fewer distinct words."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's name must stay as it is
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])( |$)", r"\1 \2\3")
+        codes, words, ends = numbered(texts)
+        ids, before = put_together(codes, self.memory.find(words, self._learn))
+        at = before[ends]
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece."""
 
     def make():
-        encoder = Encoder(path)
+        encoder = per_worker(("packing", path), lambda: Encoder(path))
+        last = np.array([end_id], np.int32)
 
         def step(batch: pa.RecordBatch) -> dict:
             out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(batch["doc_id"].to_pylist(), texts(batch), strict=True):
-                left, start, number = b"", 0, 0
-                for block in (*encoder.blocks(text), np.uint32(end_id).astype("<u4").tobytes()):
-                    left += block
-                    while len(left) > 4 * capacity:
-                        start, number, left = emit(out, doc, number, start, left, capacity)
-                while left:
-                    start, number, left = emit(out, doc, number, start, left, capacity)
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+                ids = np.concatenate([ids, last])
+                for number, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start : start + capacity]
+                    for k, v in zip(out, (doc, number, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        out[k].append(v)
             return out
 
-        def emit(out, doc, number, start, left, size):
-            part = left[: 4 * size]
-            for k, v in zip(out, (doc, number, start, len(part) // 4, zlib.crc32(part)), strict=True):
-                out[k].append(v)
-            return start + len(part) // 4, number + 1, left[4 * size :]
-
         return step
 
     return map_pieces(docs.select("doc_id", "text"), "text", "doc_id long, piece int, start long, length long, ids_crc32 long", make)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -35,19 +36,26 @@ def test_encoding_as_the_library():
         assert codec.decode(ids) == text.encode()
 
 
+def test_batches_as_single_texts():
+    codec, other = reference()
+    batch = [*odd_texts(500, 5), " ".join(odd_texts(40, 6)), "one two  three\nfour five", " lead", "trail ", "a b"]
+    for text, (ids, shown) in zip(batch, codec.encode_batch(batch), strict=True):
+        assert ids.tolist() == other.encode_ordinary(text) and shown == ",".join(map(str, ids))
+
+
 def test_codec_in_blocks(monkeypatch):
     import maskspark.llm.bpe as m
 
     codec, other = reference()
     monkeypatch.setattr(m, "BLOCK", 7)
-    monkeypatch.setattr(m, "REMEMBERED", 20)
+    codec.memory.size = 20
     text = " ".join(odd_texts(60, 9))
     assert codec.encode(text).tolist() == other.encode_ordinary(text)
 
 
 def test_codec_rows(spark):
     rows = [(1, None), (2, ""), (None, "Hello there"), (3, "x " * 50000), (3, "x " * 50000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("n", "ids") if False else spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in encode_and_decode(df, RANKS, public_tokenizers.PATTERN).collect()}
     _, other = reference()
     for doc, text in rows:
@@ -59,8 +67,8 @@ def test_codec_rows(spark):
 
 def test_chunked_ids_as_the_library():
     encoder, other = Encoder(WORDS), Tokenizer.from_file(WORDS)
-    for text in odd_texts(4000, 2):
-        assert np.frombuffer(b"".join(encoder.blocks(text)), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in [*odd_texts(4000, 2), "A. b, C.d e!. <|ENDOFTEXT|> x.", "The cat. The dog, no."]:
+        assert encoder.encode(pa.array([text]))[0].tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_plan_covers_every_length():
