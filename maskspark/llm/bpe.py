@@ -24,8 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from maskspark.llm.common import map_pieces, texts
-from maskspark.llm.lexicon import Memory, numbered, per_worker, put_together
+from maskspark.llm.common import map_pieces, per_worker, texts
+from maskspark.llm.lexicon import Memory, numbered, put_together
 
 #: Widest row of a matrix, in bytes.
 WIDEST = 512

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -69,15 +71,41 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = BYTES_PER_PIECE) ->
         yield batch.slice(start)
 
 
-def map_pieces(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """mapInArrow over pieces of bounded text. make() runs once for each task and returns the
-    function from a piece to the columns of its rows, in the order of schema."""
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives, kept in the Python worker for its later tasks until one with another key."""
+    held = _held()
+    if key not in held:
+        held.clear()
+        gc.disable()  # millions of small objects without cycles would be walked again and again
+        held[key] = make()
+    held["used"] = True
+    return held[key]
+
+
+def forget() -> None:
+    """Frees what per_worker() keeps for other operators."""
+    _held().clear()
+    gc.enable()
+    gc.collect()
+
+
+def _held() -> dict:
+    return sys.modules.setdefault("_text_operators_held", types.ModuleType("_text_operators_held")).__dict__.setdefault("held", {})
+
+
+def map_pieces(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = BYTES_PER_PIECE) -> DataFrame:
+    """mapInArrow over pieces of about limit bytes of text. make() runs once for each task and
+    returns the function from a piece to the columns of its rows, in the order of schema."""
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held()
+        held.pop("used", None)
         step = make()
+        if held and "used" not in held:
+            forget()
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, limit):
                 out = step(piece)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name] for f in arrow], schema=arrow)
 

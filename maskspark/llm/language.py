@@ -20,13 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskspark.llm.common import map_pieces
 
 TRAIN_DOCS = 1500
 FEATURE_BITS = 17
+#: Bytes of text scored at once; each needs some fifty bytes of scores.
+PIECE = 1 << 20
 #: Nats that a switch of language costs: more than one odd word can pay.
 SWITCH = 12.0
 #: Nats taken from a language that does not use a word's script.
@@ -170,7 +172,7 @@ def train(rows: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
 
     counts: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
-    for r in map_pieces(sample, "text", "lang string, counts binary, scripts binary", make).toLocalIterator():
+    for r in map_pieces(sample, "text", "lang string, counts binary, scripts binary", make, PIECE).toLocalIterator():
         used, n = np.frombuffer(r.counts, np.int32).reshape(2, -1)
         counts.setdefault(r.lang, np.zeros(1 << FEATURE_BITS))[used] += n
         scripts[r.lang] = scripts.get(r.lang, 0) + np.frombuffer(r.scripts, np.int64)
@@ -188,7 +190,7 @@ def train(rows: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     return Model(languages, p.astype(np.float32), uses)
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2^17 features for each language
 
@@ -199,12 +201,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
 
         return step
 
-    return map_pieces(docs.select("doc_id", "text"), "text", "doc_id long, lang_pred string, score double", make)
-
-
-def train_and_identify(docs: DataFrame, trained: Column, keep: DataFrame | None = None) -> DataFrame:
-    """identify() by a model from the rows where trained holds."""
-    return identify(docs, train(docs.where(trained)))
+    return map_pieces(docs.select("doc_id", "text"), "text", "doc_id long, lang_pred string, score double", make, PIECE)
 
 
 def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -212,10 +209,11 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        from maskspark.llm.common import pieces
+        from maskspark.llm.common import forget, pieces
 
+        forget()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 keep = [lang != "und" and score >= least for lang, score in shared.value.predict(piece["text"].to_pylist())]
                 yield piece.filter(pa.array(keep, pa.bool_()))
 

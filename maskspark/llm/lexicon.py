@@ -3,9 +3,6 @@ distinct word is encoded once, and numpy puts the texts' ids together."""
 
 from __future__ import annotations
 
-import gc
-import sys
-import types
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -13,15 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def per_worker(key: tuple, make: Callable[[], object]) -> object:
-    """What make() gives, once for each Python worker process, which serves many tasks."""
-    held = sys.modules.setdefault("_text_operators_held", types.ModuleType("_text_operators_held")).__dict__
-    if key not in held:
-        gc.disable()  # millions of small objects without cycles would be walked again and again
-        held[key] = make()
-    return held[key]
-
-
 class Memory:
     """A dictionary of two generations: when the young one is full it becomes the old one, and what is used again moves up."""
 

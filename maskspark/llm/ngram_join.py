@@ -190,11 +190,12 @@ def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
 
 def _map_with_last(df: DataFrame, schema: str, make) -> DataFrame:
     """map_pieces for a step that has rows left at the end of its task."""
-    from maskspark.llm.common import _arrow_schema, pieces
+    from maskspark.llm.common import _arrow_schema, forget, pieces
 
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):
+        forget()
         step = make()
         for batch in batches:
             for piece in pieces(batch, "text"):

@@ -24,15 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskspark.llm.common import map_pieces, materialize
-from maskspark.llm.lexicon import Memory, numbered, per_worker, put_together
+from maskspark.llm.common import map_pieces, materialize, per_worker
+from maskspark.llm.lexicon import Memory, numbered, put_together
 
 #: Rounds of multiplicative weights at most, the share of a length that a round covers, and how far from the best a configuration may be.
 ROUNDS, STEP, SLACK = 150, 0.2, 0.01
 #: Buckets of each length within which pieces are ranked, for each task of the piece table.
 BUCKETS = 64
 #: Words in each of the two generations that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class Encoder:

@@ -176,12 +176,13 @@ def mask(text: str, items: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with personal data in text masked; null text stays null."""
-    from maskspark.llm.common import _arrow_schema, pieces
+    from maskspark.llm.common import _arrow_schema, forget, pieces
 
     schema = docs.schema
     arrow = _arrow_schema(docs.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
 
     def run(batches):
+        forget()
         machine = automaton()
         at = arrow.get_field_index("text")
         for batch in batches:

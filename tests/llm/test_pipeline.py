@@ -1,0 +1,65 @@
+import json
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from maskspark.llm.pii import automaton, mask, spans
+from tests.llm.test_ngram_join import brute as links
+from tests.llm.test_quality import brute as quality
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus():
+    r = random.Random(3)
+    words = {"en": "the and with from have house water light stone river", "de": "und nicht schön größe wasser mit haus licht stein fluss"}
+    out = []
+    for i in range(40):
+        lang = ("en", "de")[i % 2]
+        text = " ".join(r.choice(words[lang].split()) + str(r.randint(0, 400)) * (r.random() < 0.8) for _ in range(r.choice((20, 80, 120))))
+        out.append((i, text + (f" mail{i}@host.org" if i % 3 == 0 else ""), lang))
+    out += [(100 + i, out[i * 3][1] + " tail", out[i * 3][2]) for i in range(8)]
+    out += [(200, None, "en"), (201, "", None), (None, " ".join(f"the{i}" for i in range(70)), "en"), (3, out[3][1], out[3][2])]
+    return [(d, t, lang, "s", len(t or "")) for d, t, lang in out]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    return str(path)
+
+
+def test_stages_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language id", "n-gram jaccard join", "pii", "best-fit packing"]
+
+
+def test_against_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in docs.collect()), key=str)
+    seen = lambda df: sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in df.collect()), key=str)
+
+    docs = corpus_pipeline.quality_rules(spark, docs, folder)
+    rows = [(d, t) for d, t in rows if not quality(t)[-1]]
+    assert seen(docs) == rows and docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    docs = corpus_pipeline.language_id(spark, docs, folder)
+    assert seen(docs) == rows  # every text is of a language that it learns
+    docs = corpus_pipeline.near_duplicates(spark, docs, folder)
+    first = {d: c for d, _, c in links([(d, t) for d, t in rows if d >= 0])}
+    rows = [(d, t) for d, t in rows if d < 0 or first[d] == d]
+    assert seen(docs) == rows
+    docs = corpus_pipeline.personal_data(spark, docs, folder)
+    machine = automaton()
+    rows = [(d, mask(t, spans(t, machine))) for d, t in rows]
+    assert seen(docs) == rows and all(r.n_chars == len(r.text) for r in docs.collect())
+    packed = corpus_pipeline.packing(spark, docs, folder).collect()
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(r.length for r in packed) == sum(len(other.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert max(np.bincount([r.sequence_id for r in packed], weights=[r.length for r in packed])) <= 2048
+    assert corpus_pipeline.run(spark, folder).count() == len(packed)
+    json.dumps([n for n, _ in corpus_pipeline.STAGES])
