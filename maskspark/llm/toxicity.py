@@ -33,7 +33,7 @@ from maskspark.llm.common import map_pieces, texts
 
 TRAIN_ROWS = 3000
 #: Log-likelihood by which a word or stem must favour label 1 to count as an insult.
-EVIDENCE = 14.0
+EVIDENCE = 11.0
 LEXICON = 4000
 #: Log odds that a word or stem needs, and lengths of stems.
 ODDS = 1.5
