@@ -29,6 +29,12 @@ def project_to(row: Column, positions: list[int]) -> Column:
     return out
 
 
+def project_each(row: Column, targets: list[tuple[int, list[int]]]) -> Column:
+    """array of (table_id, row): the mask's projections to each target's positions."""
+    held = F.array(*(F.struct(F.lit(i).cast("long").alias("table_id"), F.array(*map(F.lit, at)).cast("array<int>").alias("at")) for i, at in targets))
+    return F.transform(held, lambda t: F.struct(t["table_id"].alias("table_id"), project(row, t["at"]).alias("row")))
+
+
 def scatter(row: Column, targets: Column) -> Column:
     """The mask whose bit targets[i] is the row's bit i; the other bits are 0."""
     return F.aggregate(F.transform(targets, lambda t, i: put(bit_at(row, i), t)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
