@@ -69,8 +69,8 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(size) - size
     place = at - np.repeat(start, size)
     values = _TABLE[(place % PLACES) * 256 + _LOWER[data[at]]]
-    if len(size) and size.max() > PLACES:
-        values = _mix(values + (place // PLACES).astype(np.uint64) * _GOLD)
+    far = np.flatnonzero(place >= PLACES)  # only these bytes: a word's hash depends on nothing but the word
+    values[far] = _mix(values[far] + (place[far] // PLACES).astype(np.uint64) * _GOLD)
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(start, ends, side="left"), prepend=0)
     hashes = np.add.reduceat(values, first) if len(first) else np.empty(0, np.uint64)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from maskspark.llm.ngram_join import choose_boundary, components, jaccard_components
+from maskspark.llm.ngram_join import choose_boundary, components, jaccard_components, shingle_sets
 
 
 def brute(rows):
@@ -68,3 +68,20 @@ def test_components_of_a_long_path(spark):
 
 def test_boundary_follows_cost():
     assert choose_boundary({10: 100}, scan=1.0) <= choose_boundary({10: 100}, scan=8.0)
+
+
+def test_hash_depends_on_the_word_alone():
+    plain, long_ = b"one two three four five six", b"x" * 65 + b" y " + b"ab" * 100
+    alone = [shingle_sets([t])[0].tolist() for t in (plain, long_)]
+    assert [s.tolist() for s in shingle_sets([plain, long_])] == alone
+    far = [b"x" * 64 + b"a" + b"x" * 63 + b"b", b"x" * 64 + b"b" + b"x" * 63 + b"a", b"a" + b"x" * 127 + b"b", b"x" * 128 + b"a"]
+    assert len({s[0] for s in shingle_sets(far)}) == len(far)
+
+
+def test_copies_in_pieces_with_and_without_a_long_word(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text), (3, text + " tail"), (4, "https://host.org/" + "a" * 80), (5, text), (6, text + " other end")]
+    halves = spark.sparkContext.parallelize(rows, 2)  # rows 1 to 3 are one piece, 4 to 6, with the long word, another
+    got = jaccard_components(spark.createDataFrame(halves, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert len({r.class_id for r in got if r.doc_id in (1, 2, 5)}) == 1
