@@ -7,9 +7,9 @@ good ones it costs; the second half certifies it. Cutoffs are tested in a fixed
 the proposed one to laxer ones; each test is the exact binomial tail P(Bin(n, RISK) <= k) <= level,
 with n good rows of the stratum and k of them rejected. The level is DELTA over all rules and
 strata (Bonferroni) and over the tests of a sequence, so with probability 1 - DELTA every cutoff
-in force rejects at most the share RISK of good rows of its stratum. A stratum in which nothing
-can be certified takes the cutoff of all strata together, certified likewise; without one, the
-rule rejects nothing.
+in force rejects at most the share RISK of good rows of its stratum. A cutoff holds only in the
+stratum whose own rows certified it: where nothing can be certified, the rule rejects nothing, so
+the bad rows of a stratum with few labels stay unless a base rule rejects them.
 
 Edge cases. Null text counts as without words: n_words 0, which fails the base rule. Null strata
 form one stratum. Labels of an id that disagree count as bad; labels without text are ignored.
@@ -33,8 +33,6 @@ RISK, DELTA = 0.01, 0.05
 GRID = 64
 #: Good rows that a cutoff may reject for each bad row, in the proposing half.
 PRICE = 20.0
-#: Strata with thresholds of their own, the largest first; the others take those of all rows together.
-STRATA = 256
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -47,6 +45,8 @@ RULES = {
     "capitals": ("n_capitals", "word_chars", 0.64),
     "marks": ("n_marks", "word_chars", 0.64),
 }
+#: Good rows in the certifying half below which no test can pass, even one with nothing rejected and no other stratum.
+LEAST_GOOD = math.ceil(math.log(DELTA / len(RULES)) / math.log1p(-RISK))
 
 
 def counts(text: Column) -> dict[str, Column]:
@@ -140,38 +140,31 @@ def _step(rule: str) -> Column:
     return F.least(F.lit(GRID), F.floor(F.col(over) * (GRID / top) / F.greatest(F.col(under), F.lit(1)))).cast("int")
 
 
-def learn(counted: DataFrame, labels: DataFrame, stratum: str) -> dict[str, dict[str | None, int]]:
-    """rule -> stratum (None: all together) -> step from which it rejects."""
+def learn(counted: DataFrame, labels: DataFrame, stratum: str) -> dict[str, dict[str, int]]:
+    """rule -> stratum -> step from which it rejects."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     judged = counted.where("not base_failed").select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.struct(*(_step(r).alias(r) for r in RULES)).alias("steps")).join(known, "doc_id")
     each = judged.select("stratum", remainder("doc_id", 2).cast("int").alias("half"), (1 - F.col("quality")).cast("int").alias("bad"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"steps.{r}").alias("step")) for r in RULES))).alias("x"))
     cells = each.groupBy("stratum", "half", "bad", F.col("x.rule").alias("rule"), F.col("x.step").alias("step")).count()
-    cells = materialize(cells, "quality-cells")
-    large = cells.groupBy("stratum").agg(F.sum("count").alias("rows")).orderBy(F.desc("rows"), "stratum").limit(STRATA)
-    own = cells.join(F.broadcast(large), "stratum").select("stratum", "rule", "step", "half", "bad", "count")
-    whole = cells.groupBy("rule", "step", "half", "bad").agg(F.sum("count").alias("count"))
-    table: dict[tuple, list] = {}
-    for r in own.collect():  # at most STRATA * rules * grid * 4
-        table.setdefault((r.rule, r.stratum), []).append((r.step, r.half, r.bad, r["count"]))
-    for r in whole.collect():
-        table.setdefault((r.rule, None), []).append((r.step, r.half, r.bad, r["count"]))
-    found: dict[str, dict[str | None, int]] = {r: {} for r in RULES}
-    for (rule, name), rows in sorted(table.items(), key=str):
-        if (step := certified(rows, len(table))) is not None:
-            found[rule][name] = step
+    judges = F.sum(F.when((F.col("half") == 1) & (F.col("bad") == 0) & (F.col("rule") == next(iter(RULES))), F.col("count")).otherwise(0))
+    strata = cells.groupBy("stratum").agg(judges.alias("good"), F.collect_list(F.struct("rule", "step", "half", "bad", "count")).alias("cells"))  # at most rules * grid * 4
+    strata = materialize(strata, "quality-cells").where(F.col("good") >= LEAST_GOOD)
+    tests = len(RULES) * strata.count()
+    found: dict[str, dict[str, int]] = {r: {} for r in RULES}
+    for row in strata.toLocalIterator():
+        for rule in RULES:
+            if (step := certified([(c.step, c.half, c.bad, c["count"]) for c in row.cells if c.rule == rule], tests)) is not None:
+                found[rule][row.stratum] = step
     return found
 
 
-def rejected(cutoffs: dict[str, dict[str | None, int]], stratum: str) -> Column:
-    """Whether a counted row reaches the cutoff of a rule."""
+def rejected(cutoffs: dict[str, dict[str, int]], stratum: str) -> Column:
+    """Whether a counted row reaches the cutoff of a rule in its stratum."""
     tests = []
     for rule, steps in cutoffs.items():
-        limit = F.lit(steps.get(None, GRID + 1))
-        for name, step in steps.items():
-            if name is not None:
-                limit = F.when(F.coalesce(F.col(stratum), F.lit("")) == name, step).otherwise(limit)
-        if steps:
-            tests.append(_step(rule) >= limit)
+        for step in sorted(set(steps.values())):
+            names = sorted(name for name, own in steps.items() if own == step)
+            tests.append(F.coalesce(F.col(stratum), F.lit("")).isin(names) & (_step(rule) >= step))
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 

@@ -68,6 +68,21 @@ def test_false_rejection_is_limited(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i in got if got[i]}
 
 
+def test_a_small_stratum_is_not_cut_by_others(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows, labels = [], []
+    for i in range(6000):
+        lang = "small" if i % 300 == 0 else None if i % 300 == 1 else "hot"
+        good = lang != "hot" or i % 10 != 0
+        rows.append((i, " ".join(r.choice(words) + ("" if good and lang == "hot" else "###") for _ in range(60)), lang))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.kept for x in judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert all(got[i] for i, q in labels if q)
+    assert not any(got[i] for i, q in labels if not q)
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", None), (None, " ".join(map(str, range(60))), "q")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
