@@ -26,13 +26,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id stays; empty ones stay."""
-    from maskspark.llm.ngram_join import jaccard_components
-
-    found = jaccard_components(docs, k=5, percent=75)
-    stay = materialize(found.where("doc_id <=> component_id").select("doc_id").distinct(), "stay")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept
+    """Of each component of linked documents one text of the smallest id stays, of one without any
+    id one row; empty ones stay. Rows that repeat both id and text stay together or go together."""
+    from maskspark.llm.ngram_join import linked
+
+    found = linked(docs, k=5, percent=75)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x"))
+    stay = first.select("x.doc_id", "x.text_hash").union(found.where("root is null").select("doc_id", "text_hash").distinct())
+    stay = materialize(stay, "stay")
+    same = lambda df: df.join(stay, df["doc_id"].eqNullSafe(stay["doc_id"]) & (F.xxhash64(df["text"]) == stay["text_hash"]), "left_semi")
+    nameless = F.col("doc_id").isNull() & (F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "") != "")
+    return same(docs.where(~nameless)).union(same(docs.where(nameless)).dropDuplicates(["text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,14 +141,14 @@ def _tag() -> Column:
 
 
 def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (kind 0: doc_id, tag, n, class) and (kind 1: shingle, count) for shingles repeated among the distinct sets of a block of a task."""
+    """Rows (kind 0: doc_id, tag, text_hash, n, class) and (kind 1: shingle, count) for shingles repeated among the distinct sets of a block of a task."""
 
     def make():
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
         def step(piece: pa.RecordBatch) -> dict:
-            ids, sizes, classes = (piece["doc_id"].to_pylist(), piece["tag"].to_pylist()), [], []
+            ids, sizes, classes = [piece[c].to_pylist() for c in ("doc_id", "tag", "text_hash")], [], []
             for s in shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), k):
                 c = _class_of(s)
                 sizes.append(len(s))
@@ -170,7 +170,7 @@ def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
 
         def last() -> dict:
             u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            return _rows(([], []), [], [], u[c > 1], c[c > 1])
+            return _rows(([], [], []), [], [], u[c > 1], c[c > 1])
 
         step.last = last
         return step
@@ -181,11 +181,12 @@ def _scan_docs(docs: DataFrame, k: int) -> DataFrame:
             "kind": [0] * len(sizes) + [1] * m,
             "doc_id": ids[0] + [None] * m,
             "tag": ids[1] + [None] * m,
+            "text_hash": ids[2] + [None] * m,
             "n": sizes + [int(x) for x in counts],
             "key": classes + hashes.astype(np.int64).tolist(),
         }
 
-    return _map_with_last(docs.select("doc_id", "text", _tag()), "kind int, doc_id long, tag long, n long, key long", make)
+    return _map_with_last(docs.select("doc_id", "text", _tag(), F.xxhash64("text").alias("text_hash")), "kind int, doc_id long, tag long, text_hash long, n long, key long", make)
 
 
 def _map_with_last(df: DataFrame, schema: str, make) -> DataFrame:
@@ -327,9 +328,14 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, class_id (the set's hash; null
     for empty sets), component_id (smallest doc_id reachable by links)."""
+    return linked(docs, k, percent).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def linked(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of jaccard_components() and text_hash (xxhash64 of the text) and root: the component's smallest class, also without ids; null for empty sets."""
     spark = docs.sparkSession
     scan = materialize(_scan_docs(docs, k), "scan")
-    ids = scan.where("kind = 0").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.col("key").alias("cls"))
+    ids = scan.where("kind = 0").select("doc_id", "tag", "text_hash", F.col("n").alias("n_shingles"), F.col("key").alias("cls"))
     frequent = (
         scan.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).where("c >= 4").orderBy(F.desc("c"), "key").limit(RANKED_SHINGLES).toArrow()
     )
@@ -385,5 +391,5 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = standing.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cls", "component_id")
-    return ids.join(named, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cls", "root", "component_id")
+    return ids.join(named, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")

@@ -39,6 +39,19 @@ def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language id", "n-gram jaccard join", "pii", "best-fit packing"]
 
 
+def test_one_of_each_group_also_without_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (None, a), (None, a + " tail"), (None, b), (None, b), (None, b + " tail"), (None, b.upper()), (5, c), (5, a + " end"), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    whole = [(d, t) for d, t in left if t]
+    assert sorted((d, t) for d, t in whole if d) == [(1, a), (5, c)]
+    assert len(whole) == 3 and sum(d is None and t.lower().startswith(b) for d, t in whole) == 1
+    assert len(left) == 6  # the three empty ones stay
+
+
 def test_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in docs.collect()), key=str)
