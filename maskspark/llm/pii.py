@@ -36,6 +36,7 @@ _QUADS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _NUMBER = re.compile(r"[:#=\x20.]{0,4}([0-9](?:[\x20-]?[0-9]){5,33})(?![0-9A-Za-z])")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+:[^\s@/?#]+(?=@[A-Za-z0-9])")
 
@@ -53,6 +54,12 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, m: re.Match) -> int | None:
+    """Where the IBAN at the start of the match ends: the last end of a group up to which the check holds, since words in capitals may follow."""
+    ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+    return next((e for e in ends if not _ALNUM.match(text, e) and iban_ok(text[m.start() : e])), None)
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for c in "0123456789":
@@ -124,9 +131,9 @@ def spans(text: str, machine: ahocorasick.Automaton) -> list[tuple[str, int, int
             if m := _USERINFO.match(text, last + 1):
                 found.append(("userinfo", m.start(), m.end()))
         elif last + 1 >= account_end:
-            if (m := _IBAN.search(text, last + 1, min(len(text), last + 48))) and m.start() <= last + 6 and iban_ok(m[0]):
-                found.append(("account", m.start(), m.end()))
-                account_end = m.end()
+            if (m := _IBAN.search(text, last + 1, min(len(text), last + 48))) and m.start() <= last + 6 and (end := iban_end(text, m)):
+                found.append(("account", m.start(), end))
+                account_end = end
             elif m := _NUMBER.match(text, last + 1):
                 found.append(("account", m.start(1), m.end(1)))
                 account_end = m.end()

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from maskspark.llm.pii import automaton, find_personal_data, iban_ok, luhn, mask, redact, spans
 
 BASE = {
@@ -36,6 +38,14 @@ def test_added_kinds_and_masking():
     assert mask("to x@y.org.", spans("to x@y.org.", machine)) == "to [EMAIL]."
 
 
+@pytest.mark.parametrize("after", [" BIC: COBADEFF", " COBADEFF", " BIC COBADEFFXXX OR MORE", " A B C D", ""])
+def test_iban_before_words_in_capitals(after):
+    text = "IBAN DE89 3704 0044 0532 0130 00" + after
+    assert mask(text, spans(text, automaton())) == "IBAN [ACCOUNT]" + after
+    text = "IBAN: DE89370400440532013000" + after
+    assert mask(text, spans(text, automaton())) == "IBAN: [ACCOUNT]" + after
+
+
 def test_rows(spark):
     rows = [(1, None, "a"), (2, "", "b"), (None, "q@w.de", "c"), (3, "n" * 100000 + " q@w.de", "d"), (3, "n" * 100000 + " q@w.de", "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
