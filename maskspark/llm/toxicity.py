@@ -153,7 +153,8 @@ class Scorer:
             at = last - size + 1
             if at < end or (at and (low[at - 1].isalpha() or low[at - 1] == "'")):
                 continue
-            start = max((m.end() for m in _CLAUSE.finditer(low, max(end, at - 2000), at)), default=max(end, at - 2000))
+            # end is past every earlier cue, so the searches for borders read a text once in all
+            start = max((m.end() for m in _CLAUSE.finditer(low, end, at)), default=end)
             stop = m.start() if (m := _CLAUSE.search(low, at)) else len(low)
             end = stop
             if score := self.clause(_WORD.findall(low, start, stop)):
