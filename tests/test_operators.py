@@ -159,6 +159,20 @@ def test_decomposition(of):
     assert exact and len(path) == 2
 
 
+def test_reconstruction_search_has_no_bound(of):
+    bits = list(range(1, 15))
+    source, factors = of((bits, [2**14 - 1])), of(*(([b], [1]) for b in bits))
+    path, exact = reconstruction.search(source, factors)
+    assert exact and sorted(path) == [[b] for b in bits]
+    with pytest.raises(RuntimeError):
+        reconstruction.search(source, factors, most_states=100)
+
+
+def test_reconstruction_search_stops_at_the_source(of):
+    path, exact = reconstruction.search(of(([1, 2], [0, 3])), of(([1, 2], [0, 3]), ([1], [0]), ([2], [0])))
+    assert exact and path == [[1, 2]]
+
+
 def test_one_round(of):
     out = pipeline.reduce_system(of(([10, 20], [0, 2, 3]), ([20, 30], [0, 1, 2])), {10}, zero_collapse=False, max_rounds=1)
     assert out.rounds[0]["single"]["removed_bits"] == 1
