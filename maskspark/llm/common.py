@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """value for all executors, which need not have this package; the caller proves that its size is bounded."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = BYTES_PER_PIECE) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds about limit bytes of column (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from maskspark.llm.ngram_join import choose_boundary, components, jaccard_components, shingle_sets
+from maskspark.llm import ngram_join
+from maskspark.llm.ngram_join import choose_boundary, components, jaccard_components, linked, shingle_sets
 
 
 def brute(rows):
@@ -85,3 +87,56 @@ def test_copies_in_pieces_with_and_without_a_long_word(spark):
     got = jaccard_components(spark.createDataFrame(halves, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
     assert len({r.class_id for r in got if r.doc_id in (1, 2, 5)}) == 1
+
+
+def test_long_lists_and_small_blocks(spark):
+    """One large group of near copies: lists dealt in parts of ten entries, comparisons in blocks of some kilobytes."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4))):
+            copy[r.randrange(len(copy))] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame([*rows, (None, rows[3][1]), (None, "alone here"), (None, None)], "doc_id long, text string").repartition(3)
+    got = linked(docs, long_list=10, block_bytes=20_000, broadcast_rows=0).collect()
+    named = [x for x in got if x.doc_id is not None]
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in named) == brute(rows)
+    nameless = sorted((x.n_shingles, x.component_id) for x in got if x.doc_id is None)
+    own = next(x for x in named if x.doc_id == 3)
+    assert nameless == sorted([(own.n_shingles, own.component_id), (1, None), (0, None)], key=lambda x: x[0])
+
+
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m, both in ((40, 50, 30), (300, 400, 250), (5000, 4000, 100)):
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[:both], r.integers(0, 2**63, m - both, dtype=np.uint64)]))
+        wide, other = ngram_join._sketch(x), ngram_join._sketch(y)
+        most = min(len(wide), len(other))
+        pairs = [(z.reshape(-1, most), ngram_join._folded(z)) for z in (wide, other)]
+        same_width = [np.bitwise_xor.reduce(z, axis=0) for z, _ in pairs]
+        bits = lambda z: sum((int(v) & (1 << 64) - 1).bit_count() for v in z)
+        apart = len(np.setxor1d(x, y))
+        assert bits(pairs[0][1] ^ pairs[1][1]) <= bits(same_width[0] ^ same_width[1]) <= apart
+        assert ngram_join._shared(x, y) == len(np.intersect1d(x, y))
+
+
+def test_classes_with_one_first_hash_are_told_apart():
+    a, b = (np.array(x, np.uint64) for x in ([1, 2], [3, 4]))
+    first, second = ngram_join._two_hashes(a)
+    assert ngram_join._class_of(a) == first and ngram_join._class_of(a, frozenset([first])) == second
+    assert ngram_join._class_of(b, frozenset([first])) == ngram_join._two_hashes(b)[0] and ngram_join._class_of(a[:0]) is None
+
+
+def test_very_long_text(spark):
+    long_ = " ".join(f"w{i % 9973}x{i // 9973}" for i in range(120_000))
+    rows = [(1, long_), (2, long_ + " more"), (3, "short one"), (4, long_[: len(long_) // 2])]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_cost_chooses_by_the_lists_met():
+    assert choose_boundary({n: 10 for n in range(3, 60)}, scan={n: 1.0 for n in range(3, 60)}) == 2
+    assert choose_boundary({n: 10 for n in range(3, 400)}, scan={n: 500.0 for n in range(3, 400)}) > 200
