@@ -379,12 +379,12 @@ def _blocks(pairs: DataFrame, size: int) -> DataFrame:
     cell that is still larger by the pairs themselves."""
     low = materialize(pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low")
     named = pairs.join(low, "a").join(low.toDF("b", "low_b"), "b").select("a", "b", "bytes", F.least("low", "low_b").alias("low"))
-    share = lambda name: F.ceil(F.sum("bytes") / size).cast("long").alias(name)
-    crowd = materialize(named.groupBy("low").agg(share("crowd")), "crowd")
+    parts = lambda name: F.ceil(F.sum("bytes") / size).cast("long").alias(name)
+    crowd = materialize(named.groupBy("low").agg(parts("crowd")), "crowd")
     side = F.ceil(F.sqrt("crowd"))
     cells = named.join(crowd, "low").select("a", "b", "bytes", "low", F.pmod(F.xxhash64("a"), side).alias("i"), F.pmod(F.xxhash64("b"), side).alias("j"))
     cells = materialize(cells, "cells")
-    over = materialize(cells.groupBy("low", "i", "j").agg(share("over"), F.sum("bytes").alias("total")), "over")
+    over = materialize(cells.groupBy("low", "i", "j").agg(parts("over"), F.sum("bytes").alias("total")), "over")
     blocks = max(1, int((over.agg(F.sum("total")).first()[0] or 0) // size))
     return cells.join(over, ["low", "i", "j"]).select("a", "b", F.pmod(F.xxhash64("low", "i", "j", F.pmod(F.xxhash64("a", "b"), "over")), F.lit(blocks)).cast("int").alias("block"))
 

@@ -7,7 +7,8 @@ good ones it costs; the second half certifies it. Cutoffs are tested in a fixed
 the proposed one to laxer ones; each test is the exact binomial tail P(Bin(n, RISK) <= k) <= level,
 with n good rows of the stratum and k of them rejected. The level is DELTA over all rules and
 strata (Bonferroni) and over the tests of a sequence, so with probability 1 - DELTA every cutoff
-in force rejects at most the share RISK of good rows of its stratum. A cutoff holds only in the
+in force rejects at most the share RISK of good rows of its stratum; the rules of a stratum
+together reject at most the sum of their shares. A cutoff holds only in the
 stratum whose own rows certified it: where nothing can be certified, the rule rejects nothing, so
 the bad rows of a stratum with few labels stay unless a base rule rejects them.
 
@@ -176,7 +177,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, that judge() keeps."""
-    cutoffs = learn(materialize(with_counts(docs, ["doc_id", stratum]), "quality"), labels, stratum)
-    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("q_row"), "text", F.col(stratum).alias("q_stratum"))
-    return with_counts(rows, ["q_row", "q_stratum"]).where(~F.col("base_failed") & ~rejected(cutoffs, "q_stratum")).select("q_row.*")
+    """The rows of docs, all columns, that judge() keeps. Counts are written beside the rows, so that no text is counted twice."""
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("q_row"), "text", F.col("doc_id").alias("q_id"), F.col(stratum).alias("q_stratum"))
+    counted = materialize(with_counts(rows, ["q_row", "q_id", "q_stratum"]), "quality")
+    cutoffs = learn(counted.drop("q_row").withColumnRenamed("q_id", "doc_id"), labels, "q_stratum")
+    return counted.where(~F.col("base_failed") & ~rejected(cutoffs, "q_stratum")).select("q_row.*")

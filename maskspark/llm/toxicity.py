@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four transducers read the classes of a clause's words: negation and reported speech weaken the
-insults in their scope, a target strengthens those near it, a threat counts with its target.
-They are composed into one machine over the product of their states; a clause's score is the
-weight of its path, and a text's score is a logistic function of its clauses' scores. Threats,
-targets, negations and reports are word lists; insults, as words or stems, and their weights are
-learned from labelled rows, as are the two numbers of the logistic function.
+A lexical transducer reads the letters of a word and writes its class, and an insult's weight.
+Four more read those classes through a clause: negation and reported speech weaken the insults in
+their scope, a target strengthens those near it, a threat counts with its target. They are
+composed into one machine over the product of their states; a clause's score is the weight of its
+path, and a text's score is a logistic function of its clauses' scores. A colon ends no clause,
+since reported speech goes on behind it; all apostrophes count alike. Threats, targets, negations
+and reports are word lists; insults, as words or stems, and their weights are learned from
+labelled rows, as are the numbers of the logistic function.
 
 Training takes at most TRAIN_ROWS labelled rows of each class, chosen by a hash of the id (a
 documented bound of the classifier); near copies among them count once. Scoring covers whole texts.
@@ -26,15 +28,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.llm.common import map_pieces, texts
+from maskspark.llm.common import least_hashed, map_pieces, share, texts
 
 TRAIN_ROWS = 3000
 #: Log-likelihood by which a word or stem must favour label 1 to count as an insult.
 EVIDENCE = 11.0
-LEXICON = 4000
 #: Log odds that a word or stem needs, and lengths of stems.
 ODDS = 1.5
 STEMS = (4, 5, 6, 7, 8)
@@ -48,7 +49,8 @@ REPORTS = frozenset("said says wrote claimed reported quoted sagte schrieb behau
 #: Words that negation reaches, and words between an insult and its target.
 SCOPE, REACH = 3, 4
 
-_CLAUSE = regex.compile(r"[.!?;:\n]")
+_CLAUSE = regex.compile(r"[.!?;\n]")
+_APOSTROPHES = str.maketrans("\u2019\u02bc\u2018\u00b4", "''''")
 _WORD = regex.compile(r"[\p{L}\p{M}']+")
 
 
@@ -114,6 +116,45 @@ def grammar() -> Transducer:
     return compose(zero(_negation), zero(_report), zero(_target), zero(_threat))
 
 
+class Lexical:
+    """The transducer from the letters of a word to its class and weight. States are the nodes of a
+    tree of all entries; a word entry ends its word, a stem entry needs a further letter."""
+
+    def __init__(self):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.words: dict[int, tuple[int, float]] = {}
+        self.stems: dict[int, float] = {}
+
+    def _state(self, letters: str) -> int:
+        state = 0
+        for x in letters:
+            if x not in self.arcs[state]:
+                self.arcs[state][x] = len(self.arcs)
+                self.arcs.append({})
+            state = self.arcs[state][x]
+        return state
+
+    def add_word(self, word: str, symbol: int, weight: float = 0.0) -> None:
+        self.words[self._state(word)] = (symbol, weight)
+
+    def add_stem(self, stem: str, weight: float) -> None:
+        self.stems[self._state(stem)] = weight
+
+    def read(self, word: str) -> tuple[int, float]:
+        """(symbol, weight); an insult's weight is the most of its own and its stems'."""
+        state, weight = 0, 0.0
+        for i, x in enumerate(word):
+            state = self.arcs[state].get(x, -1)
+            if state < 0:
+                break
+            if i + 1 < len(word):
+                weight = max(weight, self.stems.get(state, 0.0))
+        symbol, own = self.words.get(state, (OTHER, 0.0))
+        if max(weight, own) > 0:
+            return INSULT, max(weight, own)
+        return (NEGATION if symbol == OTHER and word.endswith("n't") else symbol), 0.0
+
+
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=dict)
@@ -124,29 +165,31 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.machine = model, grammar()
+        self.model, self.machine, self.lexical = model, grammar(), Lexical()
+        for list_, symbol in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT)):
+            for word in list_:
+                self.lexical.add_word(word, symbol)
+        for word, weight in model.words.items():
+            self.lexical.add_word(word, INSULT, weight)
+        for stem, weight in model.stems.items():
+            self.lexical.add_stem(stem, weight)
         self.cues = ahocorasick.Automaton()
         for word in {*model.words, *model.stems, *THREATS}:
             self.cues.add_word(word, len(word))
         if len(self.cues):
             self.cues.make_automaton()
 
-    def weight(self, word: str) -> float:
-        """The insult weight of a word: the most of its own and its stems'."""
-        return max(self.model.words.get(word, 0.0), *(self.model.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n), 0.0)
-
     def clause(self, words: list[str]) -> float:
         state, total = self.machine.start, 0.0
         for word in words:
-            weight = self.weight(word)
-            symbol = INSULT if weight else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
+            symbol, weight = self.lexical.read(word)
             state, _, factor, bonus = self.machine.step(state, symbol)
             total += weight * factor + bonus
         return total
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, score) of the clauses with a score, in code points of the lower-cased text."""
-        low, found, end = text.lower(), [], 0
+        low, found, end = text.lower().translate(_APOSTROPHES), [], 0
         if not len(self.cues):
             return found
         for last, size in self.cues.iter(low):
@@ -180,16 +223,15 @@ def _stems(size: int) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic) of the training sample: at most `rows` labelled rows of each class; near copies, which share the least hash of their long words, once."""
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """(text, toxic, words) of the training sample: at most `rows` labelled rows of each class; of near copies, which share a least hash of their long words, the one of least hash."""
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).select("doc_id", "toxic")
+    ids = least_hashed(one, "toxic", rows)
     chosen = docs.join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic", F.split(F.lower("text"), r"[^\p{L}\p{M}']+").alias("words"))
     long_ = F.filter("words", lambda x: F.length(x) >= 8)
     for seed in map(F.lit, range(3)):
         least = F.array_min(F.transform(long_, _salt(seed)))
-        chosen = chosen.withColumn("sketch", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["toxic", "sketch"])
-    return chosen.select("text", "toxic", "words")
+        chosen = chosen.groupBy("toxic", F.coalesce(least, F.xxhash64("text")).alias("sketch")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "words")).alias("x")).select("toxic", "x.text", "x.words")
+    return chosen
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -203,9 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model(offset=20.0 if bad else -20.0)
     features = F.flatten(F.array(F.transform("words", lambda x: F.concat(F.lit("0"), x)), *map(_stems, STEMS)))
     counted = sample.select("toxic", F.explode(F.array_distinct(features)).alias("f")).groupBy("f").agg(F.sum(F.col("toxic")).alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    share = (F.col("bad") + 0.5) / (F.col("good") + F.col("bad") + 1)
-    gain = F.col("bad") * F.log(share / (bad / (good + bad))) + F.col("good") * F.log((1 - share) / (good / (good + bad)))
-    best = counted.where(F.length("f") > 3).withColumn("gain", gain).where((F.col("gain") >= EVIDENCE) & ((F.col("bad") + 0.5) / (bad + 1) >= math.exp(ODDS) * (F.col("good") + 0.5) / (good + 1))).orderBy(F.desc("gain"), "f").limit(LEXICON).collect()
+    odds = (F.col("bad") + 0.5) / (F.col("good") + F.col("bad") + 1)
+    gain = F.col("bad") * F.log(odds / (bad / (good + bad))) + F.col("good") * F.log((1 - odds) / (good / (good + bad)))
+    best = counted.where(F.length("f") > 3).withColumn("gain", gain).where((F.col("gain") >= EVIDENCE) & ((F.col("bad") + 0.5) / (bad + 1) >= math.exp(ODDS) * (F.col("good") + 0.5) / (good + 1))).collect()  # bounded by the sample: each needs several of its rows
     weight = {r.f: math.log((r.bad + 0.5) / (bad + 1)) - math.log((r.good + 0.5) / (good + 1)) for r in best}
     seen = {r.f: r.bad for r in best}
     model = Model()
@@ -217,10 +259,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             stem = f"{n}{name[1:][:n]}"
             if len(name) - 1 >= n and stem != name and stem in weight and seen[name] >= 0.8 * seen[stem] and weight[name] >= weight[stem]:
                 model.stems.pop(stem[1:], None)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared())
 
         def step(piece: pa.RecordBatch) -> dict:
             found = [scorer.measures(t) for t in texts(piece)]
@@ -250,10 +292,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def score(docs: DataFrame, model: Model, held_out: str = "false") -> DataFrame:
     """doc_id, held_out (an SQL condition), score, predicted of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON entries at most
+    shared = share(docs.sparkSession, model)  # what the bounded sample holds
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared())
 
         def step(piece: pa.RecordBatch) -> dict:
             scores = [scorer.score(t) for t in texts(piece)]

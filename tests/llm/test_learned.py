@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskspark.llm import language, toxicity
-from maskspark.llm.common import remainder
+from maskspark.llm.common import least_hashed, remainder
 from maskspark.llm.language import Model, viterbi
 
 SF = "/root/testdata/sf0.1"
@@ -85,3 +85,73 @@ def test_toxicity_without_training(spark):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.predicted for r in toxicity.score(docs, model).collect()] == [0, 0, 0]
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_reports_go_on_behind_a_colon_and_apostrophes_count_alike():
+    scorer = toxicity.Scorer(toxicity.Model(words={"idiot": 2.0}, slopes=(1.0, 0.0), offset=-1))
+    one = lambda t: sum(x[2] for x in scorer.clauses(t))
+    assert one("he said: you idiot") == one("he said you idiot") < one("you idiot")
+    assert one("he isn\u2019t an idiot") == one("he isn't an idiot") == one("he couldn't be an idiot") < one("he is an idiot")
+
+
+def by_hand(words, insults):
+    """The clause's score by the grammar's rules, without machines."""
+    total, report, negated, target, insult, threat = 0.0, False, 0, 0, 0, 0
+    for w in words:
+        kind = "insult" if w in insults else next((k for k, v in (("threat", toxicity.THREATS), ("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) if w in v), "")
+        factor, bonus = 1.0, 0.0
+        if kind in ("insult", "threat"):
+            factor *= (0.6 if negated else 1) * (0.6 if report else 1)
+        if kind == "insult":
+            factor *= 1.5 if target else 1
+            target, insult = 0, toxicity.REACH
+        elif kind == "target":
+            bonus += (1.0 if insult else 0.0) + (2.0 if threat else 0.0)
+            target, insult = toxicity.REACH, 0
+        else:
+            target, insult = max(0, target - 1), max(0, insult - 1)
+        threat = toxicity.REACH if kind == "threat" else 0 if kind == "target" else max(0, threat - 1)
+        negated = toxicity.SCOPE if kind == "negation" else max(0, negated - 1)
+        report = report or kind == "report"
+        total += (insults[w] * factor if kind == "insult" else 0.0) + bonus
+    return total
+
+
+def test_grammar_against_rules_by_hand():
+    insults = {"idiot": 2.0, "moron": 1.25}
+    scorer = toxicity.Scorer(toxicity.Model(words=insults, slopes=(1.0, 0.0), offset=-1))
+    r = random.Random(6)
+    for _ in range(3000):
+        words = [r.choice(["idiot", "moron", "kill", "you", "never", "said", "stone", "river"]) for _ in range(r.randint(1, 12))]
+        assert scorer.clause(words) == pytest.approx(by_hand(words, insults)), words
+
+
+def test_marks_are_no_letters_and_scripts_are_ranges():
+    size = lambda t: language.words_of([t]).size.tolist()
+    assert size("\u201chello\u201d") == [5] and size("a\u2014b") == [1, 1] and size("a\u00a0b") == [1, 1] and size("e\u0301t\u00e9") == [4]
+    script = lambda t: [language.SCRIPTS[k - 1][0] if k else "" for k in language.words_of([t]).script]
+    assert script("the \u0e01\u0e02 \u0915\u0916 \u304b\u306a \u6f22\u5b57 \ud55c\uae00 \u0561\u0562 \u0431\u0432 \u1ea1") == ["latin", "thai", "devanagari", "kana", "han", "hangul", "armenian", "cyrillic", "latin"]
+
+
+def test_samples_are_bounded_and_the_same_each_time(spark):
+    rows = [(i, "ab"[i % 10 == 0], f"text {i}") for i in range(4000)] + [(5000, "c", "x")] * 30 + [(None, "a", "x"), (1, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    got = [sorted(r.doc_id for r in least_hashed(df, "lang", 100).collect()) for _ in range(2)]
+    kinds = {i: "ab"[i % 10 == 0] for i in range(4000)}
+    assert got[0] == got[1] and set(got[0]) - set(kinds) <= {5000}
+    for kind in "ab":
+        assert 85 <= sum(kinds.get(i) == kind for i in got[0]) <= 100
+    assert [r.doc_id for r in least_hashed(df, "lang", 30).where("lang = 'c'").collect()] == [5000] * 30
+    assert least_hashed(df, "lang", 29).where("lang = 'c'").count() == 0
+    assert least_hashed(df.limit(0), "lang", 5).collect() == []
+
+
+def test_learned_rows_repeat_and_clash(spark):
+    rows = [(1, "the house and the water", "en", "x")] * 3 + [(2, "und nicht sch\u00f6n", "de", "x"), (2, "und nicht sch\u00f6n", "de", "x"), (3, "the water " * 100_000, "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").withColumnRenamed("score", "lang_pred")
+    got = language.identify(docs, language.train(docs)).collect()
+    found = {(r.doc_id, r.lang_pred, r.score) for r in got}
+    assert len(got) == 6 and len(found) == 3 and {(2, "de"), (3, "en")} <= {x[:2] for x in found}
+    clash = docs.withColumnRenamed("lang_pred", "predicted").withColumn("toxic", F.lit(9))
+    scored = toxicity.score(clash, toxicity.train(clash, spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int"))).collect()
+    assert len(scored) == 6 and len({(r.doc_id, r.score) for r in scored}) == 3
