@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -9,7 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from maskspark.llm.bpe import Codec, encode_and_decode, encode_column
-from maskspark.llm.packing import Encoder, configuration_plan, pack, place_table
+from maskspark.llm.packing import Encoder, configuration_plan, pack, place_table, plan_and_bound
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -100,3 +101,71 @@ def test_packing(spark):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()][:-1] and s.length.sum() <= 256
     assert got.sequence_id.nunique() <= 1.05 * got.length.sum() / 256 + 2
     assert pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying every place for the longest piece left."""
+    best = len(pieces)
+
+    def search(left, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if not left:
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= left[0]}.values():
+            search(left[1:], [*rooms[:k], rooms[k] - left[0], *rooms[k + 1 :]])
+        search(left[1:], [*rooms, capacity - left[0]])
+
+    search(sorted(pieces, reverse=True), [])
+    return best
+
+
+def test_plans_against_the_optimum():
+    r = random.Random(11)
+    for _ in range(120):
+        pieces = [r.choice((r.randint(1, 20), r.choice((4, 5, 6, 7)), r.randint(7, 10))) for _ in range(r.randint(1, 11))]
+        plan, least = plan_and_bound(np.bincount(pieces, minlength=21), 20)
+        got, best = sum(n for _, n in plan), fewest(pieces, 20)
+        assert -(-sum(pieces) // 20) <= least <= best <= got <= best + 1
+
+
+def test_bound_beats_the_size_where_pieces_cannot_fill():
+    count = np.zeros(101, int)
+    count[60] = 1000  # one to a sequence
+    assert plan_and_bound(count, 100)[1] == 1000
+    count[34], count[33] = 500, 500  # two and three fit beside nothing but themselves or a 60
+    plan, least = plan_and_bound(count, 100)
+    assert 980 <= least <= 1000 == sum(n for _, n in plan)
+
+
+def test_buckets_that_hold_few_pieces(spark):
+    rows = [(i % 7, "cat " * (i % 5)) for i in range(400)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), WORDS, capacity=16, bucket=9).toPandas()
+    assert len(got) == 400 and got.least_sequences.nunique() == 1
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()][:-1] and s.length.sum() <= 16
+    assert got.least_sequences[0] <= got.sequence_id.nunique() <= got.least_sequences[0] + 1
+
+
+def test_another_tokenizer_is_used_as_it_is(tmp_path):
+    file = tmp_path / "other.json"
+    parts = json.loads(open(WORDS).read())
+    parts["normalizer"] = None
+    file.write_text(json.dumps(parts))
+    encoder, other = Encoder(str(file)), Tokenizer.from_file(str(file))
+    assert not encoder.by_words and Encoder(WORDS).by_words
+    for text in ("The CAT.\nA b", "e\u0301t\u00e9 x"):
+        assert encoder.encode(pa.array([text]))[0].tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_letters_as_the_library():
+    r = random.Random(12)
+    letters = "abcXYZ\u00e9\u00df\u00c9e\u0301\u0130\u03a3\u03c2\u0416\u4e2d\u01c5'-.,%4\u00bd\t\u00a0"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(6000)]
+    encoder, other = Encoder(WORDS), Tokenizer.from_file(WORDS)
+    got = encoder.encode(pa.array([" ".join(words[i : i + 6]) for i in range(0, 6000, 6)]))
+    for i, ids in enumerate(got):
+        text = " ".join(words[6 * i : 6 * i + 6])
+        assert ids.tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
