@@ -26,17 +26,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents one text of the smallest id stays, of one without any
-    id one row; empty ones stay. Rows that repeat both id and text stay together or go together."""
+    """Of each component of linked documents one row stays: of the smallest id, or of those without
+    ids where there is none. Documents without words are in no component; they stay."""
     from maskspark.llm.ngram_join import linked
 
-    found = linked(docs, k=5, percent=75)
-    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x"))
-    stay = first.select("x.doc_id", "x.text_hash").union(found.where("root is null").select("doc_id", "text_hash").distinct())
-    stay = materialize(stay, "stay")
-    same = lambda df: df.join(stay, df["doc_id"].eqNullSafe(stay["doc_id"]) & (F.xxhash64(df["text"]) == stay["text_hash"]), "left_semi")
-    nameless = F.col("doc_id").isNull() & (F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "") != "")
-    return same(docs.where(~nameless)).union(same(docs.where(nameless)).dropDuplicates(["text"]))
+    key = ("doc_id", "text_hash")
+    found = linked(docs, k=5, percent=75).where("root is not null").select("root", *key)
+    same = materialize(found.groupBy("root", *key).agg(F.count(F.lit(1)).alias("rows")), "same")  # repeated rows are counted before they meet
+    first = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), *key, "rows")).alias("x"))
+    stay = materialize(first.select(*(F.col(f"x.{c}").alias(f"nd_{c}") for c in (*key, "rows"))), "stay")
+    wordless = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\f\r", "") == ""
+    kept = docs.where(~wordless).join(stay, docs["doc_id"].eqNullSafe(stay["nd_doc_id"]) & (F.xxhash64("text") == stay["nd_text_hash"]))
+    repeated = kept.where("nd_rows > 1").dropDuplicates(["nd_doc_id", "nd_text_hash"])
+    return kept.where("nd_rows = 1").union(repeated).select(*docs.columns).union(docs.where(wordless))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
