@@ -101,7 +101,9 @@ class Codec:
                     keys.append(a << 20 | b)
                     values.append(rank)
         self.pairs = PairTable(np.array(keys, np.int64), np.array(values, np.int32))
-        self.pair_of = dict(zip(keys, values, strict=True)) if size < 1 << 20 else {}
+        if size >= 1 << 20:
+            raise ValueError("a pair of ids must fit the key of the pair table")
+        self.pair_of = dict(zip(keys, values, strict=True))
         self.shown = [str(i) for i in range(size)]
         self.memory = Memory(REMEMBERED)
 

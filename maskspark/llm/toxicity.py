@@ -226,7 +226,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic, words) of the training sample: at most `rows` labelled rows of each class; of near copies, which share a least hash of their long words, the one of least hash."""
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = least_hashed(one, "toxic", rows)
-    chosen = docs.join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic", F.split(F.lower("text"), r"[^\p{L}\p{M}']+").alias("words"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic", F.split(F.lower("text"), r"[^\p{L}\p{M}']+").alias("words"))
     long_ = F.filter("words", lambda x: F.length(x) >= 8)
     for seed in map(F.lit, range(3)):
         least = F.array_min(F.transform(long_, _salt(seed)))
