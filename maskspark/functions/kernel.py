@@ -110,39 +110,47 @@ def latent_split(bits: list[int], rows: np.ndarray, side: int = 4, values: int =
 
 
 def _biclique_cover(pairs: list[tuple[int, int]], lefts: list[int]) -> list[list[tuple[int, int]]]:
-    """The fewest closed bicliques that cover the pairs."""
-    after = {a: frozenset(b for x, b in pairs if x == a) for a in lefts}
-    closed = set(after.values())
-    while True:
-        new = {a & b for a in closed for b in closed if a & b} - closed
-        if not new or len(closed) > 256:
-            break
-        closed |= new
-    cliques = sorted({frozenset((a, b) for a in lefts if r <= after[a] for b in r) for r in closed}, key=lambda c: (-len(c), sorted(c)))
-    cliques = [c for c in cliques if not any(c < d for d in cliques)]
-    best: list = list(cliques)
-    greedy, left = [], set(pairs)
-    while left:
-        c = max(cliques, key=lambda c: len(c & left))
-        greedy.append(c)
-        left -= c
-    best, steps = greedy, 0
-
-    def search(chosen: list, left: frozenset) -> None:
-        nonlocal best, steps
-        steps += 1
-        if steps > 20000:
-            return
+    """The fewest closed bicliques that cover the pairs: all closed ones by intersecting rows, then
+    depth-first search with a growing limit, over bit masks. With at most 16 values on the left
+    there are at most 2^16 closed bicliques, and the search always ends with the least cover."""
+    place = {p: i for i, p in enumerate(pairs)}
+    rights = sorted({b for _, b in pairs})
+    column = {b: i for i, b in enumerate(rights)}
+    after = [sum(1 << column[b] for x, b in pairs if x == a) for a in lefts]
+    closed: set[int] = set()
+    for row in after:  # rows joined one by one: every intersection of rows, each found once
+        closed |= {row & c for c in closed if row & c} | {row}
+    edges_of = [[place.get((a, b)) for b in rights] for a in lefts]
+    masks = set()
+    for c in closed:
+        inside = [j for j in range(len(rights)) if c >> j & 1]
+        masks.add(sum(1 << edges_of[i][j] for i, row in enumerate(after) if row & c == c for j in inside))
+    cliques = sorted(masks, key=lambda m: (-m.bit_count(), m))
+    cliques = [m for i, m in enumerate(cliques) if not any(m & d == m for d in cliques[:i])]
+    holders = [[m for m in cliques if m >> e & 1] for e in range(len(pairs))]
+    by_need = sorted(range(len(pairs)), key=lambda e: (len(holders[e]), e))
+    # A set of pairs of which no two share a biclique is a lower bound of the cover.
+    apart, seen = 0, 0
+    for e in by_need:
+        if not seen >> e & 1:
+            apart += 1
+            for m in holders[e]:
+                seen |= m
+
+    def search(left: int, depth: int, dead: dict[int, int]) -> list[int] | None:
         if not left:
-            best = list(chosen) if len(chosen) < len(best) else best
-            return
-        widest = max(len(c & left) for c in cliques)
-        if len(chosen) + -(-len(left) // widest) >= len(best):
-            return
-        edge = min(left, key=lambda e: (sum(e in c for c in cliques), e))
-        for c in cliques:
-            if edge in c:
-                search([*chosen, c], left - c)
-
-    search([], frozenset(pairs))
-    return [sorted(c) for c in best]
+            return []
+        widest = max((m & left).bit_count() for m in cliques)
+        if depth * widest < left.bit_count() or dead.get(left, -1) >= depth:
+            return None
+        e = next(e for e in by_need if left >> e & 1)
+        for m in sorted(holders[e], key=lambda m: -(m & left).bit_count()):
+            if (rest := search(left & ~m, depth - 1, dead)) is not None:
+                return [m, *rest]
+        dead[left] = depth
+        return None
+
+    limit = max(1, apart)
+    while (found := search((1 << len(pairs)) - 1, limit, {})) is None:
+        limit += 1
+    return [[p for p, i in place.items() if m >> i & 1] for m in found]

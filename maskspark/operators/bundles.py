@@ -35,7 +35,7 @@ def duplicate_groups(system: System) -> DataFrame:
 
 
 def without_duplicates(system: System) -> System:
-    """The first of equal relations stays."""
+    """The first of equal relations stays: least id, which for containers is the first by file and place in it."""
     return system.only(duplicate_groups(system).select(F.col("first").alias("table_id")))
 
 

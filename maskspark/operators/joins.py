@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskspark.functions.mask import contains_all, is_full, positions_of, project, scatter
 from maskspark.operators import limits
+from maskspark.storage import cut
 from maskspark.system import ContradictionError, System
 
 
 def shared_pairs(system: System, least: int = 1) -> DataFrame:
-    """l_table_id < r_table_id with at least `least` shared bits: also l_bits, r_bits, shared, union (sorted)."""
-    a, b = (system.schema.select(F.col("table_id").alias(f"{s}_table_id"), "bit") for s in "lr")
-    ids = a.join(b, "bit").where("l_table_id < r_table_id").groupBy("l_table_id", "r_table_id").agg(F.array_sort(F.collect_list("bit")).alias("shared")).where(F.size("shared") >= least)
+    """l_table_id < r_table_id with at least `least` shared bits: also l_bits, r_bits, shared, union
+    (sorted). Pairs that need two bits meet on pairs of bits, so a bit of many relations makes no pair by itself."""
+    key = system.schema.select("table_id", "bit")
+    if least > 1:
+        other = key.withColumnRenamed("bit", "high")
+        key = key.join(other, "table_id").where("bit < high").select("table_id", "bit", "high")
+    on = [c for c in key.columns if c != "table_id"]
+    a, b = (key.select(F.col("table_id").alias(f"{s}_table_id"), *on) for s in "lr")
+    met = a.join(b, on).where("l_table_id < r_table_id")
+    bits = F.collect_set("bit") if least == 1 else F.array_union(F.collect_set("bit"), F.collect_set("high"))
+    ids = met.groupBy("l_table_id", "r_table_id").agg(F.array_sort(bits).alias("shared")).where(F.size("shared") >= least)
     for s in "lr":
         ids = ids.join(system.relations.select(F.col("table_id").alias(f"{s}_table_id"), F.col("bits").alias(f"{s}_bits")), f"{s}_table_id")
     return ids.withColumn("union", F.array_sort(F.array_union("l_bits", "r_bits")))
@@ -56,14 +63,20 @@ def join_two(left: System, right: System) -> System:
 
 
 def join_all(system: System, order: DataFrame | None = None) -> System:
-    """The natural join of every table, smallest first; an empty step ends it early with no rows."""
+    """The natural join of every table, smallest first; after an empty step the rest is not joined: no rows over all bits."""
     ids = (order or system.sized.orderBy("row_count", "arity", "bits", "table_id")).select("table_id", "bits").collect()
     if not ids:
         raise ValueError("no relations to join")
     limits.check_arity(len({b for r in ids for b in r.bits}))
     spark = system.relations.sparkSession
     parts = [System(spark.createDataFrame([(0, list(r.bits))], "table_id long, bits array<long>"), system.rows.where(F.col("table_id") == r.table_id).select(F.lit(0).cast("long").alias("table_id"), "row")) for r in ids]
-    return reduce(lambda a, b: join_two(a, b).saved(), parts[1:], parts[0].canonical())
+    joined = parts[0].canonical()
+    for part in parts[1:]:
+        if joined.rows.isEmpty():
+            bits = sorted({b for r in ids for b in r.bits})
+            return System(spark.createDataFrame([(0, bits)], "table_id long, bits array<long>"), joined.rows.limit(0))
+        joined = join_two(joined, part).saved()
+    return joined
 
 
 def semijoin_into(system: System, pairs: DataFrame) -> DataFrame:
@@ -93,9 +106,11 @@ def pairwise_merge(system: System, cap: int = 16, changed: DataFrame | None = No
         ids = changed.select("table_id").distinct()
         hit = pairs.join(ids.toDF("l_table_id"), "l_table_id", "left_semi").unionByName(pairs.join(ids.toDF("r_table_id"), "r_table_id", "left_semi")).distinct()
         pairs = hit
+    pairs = cut(pairs, "pairs")
     fits = pairs.where(F.size("union") <= cap)
-    rows = join_pairs(fits, system).distinct()
+    rows = cut(join_pairs(fits, system).distinct(), "pair-rows")  # the one large join is worked out once
     sized = fits.select("l_table_id", "r_table_id", "union").join(rows.groupBy("l_table_id", "r_table_id").agg(F.count(F.lit(1)).alias("n")), ["l_table_id", "r_table_id"], "left")
+    sized = cut(sized, "pair-sizes")
     good = sized.where((F.coalesce("n", F.lit(0)) > 0) & ~is_full(F.coalesce("n", F.lit(0).cast("long")), F.size("union")))
     numbered = good.withColumn("table_id", F.xxhash64("l_table_id", "r_table_id").bitwiseOR(F.lit(-(2**62)).cast("long")))  # negative: apart from ids in use
     merged = System(numbered.select("table_id", F.col("union").alias("bits")), rows.join(numbered, ["l_table_id", "r_table_id"]).select("table_id", "row"))

@@ -22,11 +22,12 @@ def table_ranks(system: System) -> DataFrame:
 def rank_summary(system: System) -> DataFrame:
     """One row for each arity and one, with arity null, for all: relations, least, most, mean, median rank. An empty system gives one row of zeros."""
     zero = F.lit(0.0)
-    r = table_ranks(system).rollup("arity").agg(
+    stats = (
         F.count(F.lit(1)).alias("relations"),
         *(F.coalesce(f("rank"), zero).alias(n) for f, n in ((F.min, "min_rank"), (F.max, "max_rank"), (F.avg, "mean_rank"), (F.median, "median_rank"))),
     )
-    return r
+    ranks = table_ranks(system)
+    return ranks.groupBy("arity").agg(*stats).unionByName(ranks.agg(*stats).withColumn("arity", F.lit(None).cast("int")))
 
 
 def rank_signatures(system: System, top: int = 10) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from maskspark.functions.mask import bit_at, put
 from maskspark.operators.joins import containments, semijoin_into
 from maskspark.operators.metrics import zero_collapse
+from maskspark.storage import cut
 from maskspark.system import ContradictionError, System
 
 
 def subset_absorption(system: System) -> tuple[System, dict[str, int]]:
     """Each table keeps the rows whose projection every strict-subset table allows; those subsets then go."""
     system = system.canonical().saved()
-    pairs = containments(system)
+    pairs = cut(containments(system), "containments")
     ids = pairs.select(F.col("sup_id").alias("table_id")).distinct()
     kept = semijoin_into(system, pairs)
     rows = system.rows.join(ids, "table_id", "left_anti").unionByName(kept)
@@ -94,7 +95,7 @@ def _drop_cells(system: System, cells: DataFrame, what: str) -> tuple[System, di
     """Projects (table_id, bit) cells out of their relations; then equal schemas intersect."""
     from maskspark.functions.mask import project
 
-    cells = cells.withColumn("gone", F.lit(True))
+    cells = cut(cells.withColumn("gone", F.lit(True)), "cells")
     parts = system.schema.join(cells, ["table_id", "bit"], "left").where("gone is null").groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("p"))
     new = system.relations.select("table_id").join(parts, "table_id", "left").select("table_id", F.coalesce(F.transform("p", lambda x: x["bit"]), F.array().cast("array<long>")).alias("bits"), F.coalesce(F.transform("p", lambda x: x["pos"]), F.array().cast("array<int>")).alias("at"))
     rows = system.rows.join(new, "table_id").select("table_id", project(F.col("row"), F.col("at")).alias("row")).distinct()
@@ -218,8 +219,6 @@ def _node_rows(system: System, members: DataFrame) -> DataFrame:
 
 def node_filter(system: System) -> tuple[System, System, dict[str, int]]:
     """Members keep the rows that their nodes allow, nodes those that all members allow, until nothing changes: the filtered system, its nodes, statistics."""
-    from maskspark.storage import cut
-
     node, members = nodes(system)
     members = cut(members, "members")
     start = before = system.rows.count()

@@ -9,6 +9,7 @@ from maskspark.operators import joins
 from maskspark.operators import reductions as r
 from maskspark.operators.decomposition import progressive_roundtrip, selective_roundtrip
 from maskspark.operators.ranking import best_pair, best_partner, merge_candidates, min_related_bit, next_central_bit
+from maskspark.storage import cut
 from maskspark.system import System
 
 
@@ -33,12 +34,12 @@ def eliminate_bit(system: System, bit: int) -> System:
     ids = _incident(system, bit)
     joined = merge_incident(system, bit)
     bits = set(joined.relations.first().bits)
-    inside = [x.table_id for x in system.relations.collect() if set(x.bits) < bits - {bit}]
     spark = system.relations.sparkSession
-    small = spark.createDataFrame([(t,) for t in inside], "table_id long")
+    rest = F.array(*(F.lit(b).cast("long") for b in sorted(bits - {bit})))
+    small = cut(system.relations.where((F.size(F.array_except("bits", rest)) == 0) & (F.size("bits") < len(bits) - 1)).select("table_id"), "inside")
     extra = system.only(small)
     new = joined.keep_bits(spark.createDataFrame([(bit,)], "bit long"), keep=False)
-    if inside:
+    if not small.isEmpty():
         both = _with(System(extra.relations, extra.rows), new)
         new = r.subset_absorption(both)[0]
         new = new.only(new.sized.orderBy(F.desc("arity")).limit(1))
@@ -56,9 +57,9 @@ def eliminate_bit_by_cluster(system: System, bit: int) -> System:
     targets = [(t.table_id, [place[b] for b in t.bits]) for t in members.relations.collect()]  # the relations of one bit
     supported = joined.rows.select(F.explode(project_each(F.col("row"), targets)).alias("x")).select("x.*").distinct()
     spark = system.relations.sparkSession
-    cut = System(members.relations, supported).keep_bits(spark.createDataFrame([(bit,)], "bit long"), keep=False)
+    cut_ = System(members.relations, supported).keep_bits(spark.createDataFrame([(bit,)], "bit long"), keep=False)
     rest = system.except_(ids)
-    return System(rest.relations.unionByName(cut.relations), rest.rows.unionByName(cut.rows)).canonical().saved().must_hold("cluster elimination")
+    return System(rest.relations.unionByName(cut_.relations), rest.rows.unionByName(cut_.rows)).canonical().saved().must_hold("cluster elimination")
 
 
 def elimination_cycles(system: System, cycles: int = 1000, cap: int = 32, fewest: bool = True, protected: set[int] = frozenset()) -> tuple[System, list[int]]:
@@ -110,7 +111,7 @@ def greedy_rank_cycles(system: System, target: int = 16, most: int = 100) -> tup
     """Greedy merges that skip empty joins and unions beyond target, each stage followed by the reduction steps; until both change nothing."""
     system = system.canonical().saved()
     for done in range(most):
-        before = system.local()
+        before = system.fingerprint()
         while True:
             best = merge_candidates(system).where((F.col("join_rows") > 0) & (F.col("union_arity") <= target)).orderBy("rank", "join_rows", "union_arity", "l_table_id", "r_table_id").limit(1).collect()
             if not best:
@@ -125,7 +126,7 @@ def greedy_rank_cycles(system: System, target: int = 16, most: int = 100) -> tup
             system = r.node_filter(system)[0].saved()
             if system.counts() == start:
                 break
-        if system.local() == before:
+        if system.fingerprint() == before:
             return system, done
     return system, most
 

@@ -54,10 +54,9 @@ def reduce_system(system: System, protected: set[int] = frozenset(), zero_collap
         system, log["absorption"] = r.subset_absorption(system)
         system, found, log["forced"] = r.force_step(system)
         system.must_hold("forced bits")
-        for x in found.collect():
-            for bit, (rep, inv) in mapping.items():
-                if rep == x.bit:
-                    out.forced[bit] = int(x.value) ^ int(inv)
+        values = {x.bit: int(x.value) for x in found.collect()}
+        if values:  # one pass over the mapping, however many bits are forced
+            out.forced |= {bit: values[rep] ^ int(inv) for bit, (rep, inv) in mapping.items() if rep in values}
         system, log["single"] = r.single_table_bits(system, guard)
         log["pairs"] = {"relations": 0, "replaced_bits": 0}
         while True:

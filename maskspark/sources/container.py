@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskspark.storage import cut
 from maskspark.system import System
 
 # Fixed values of the format.
@@ -92,7 +93,8 @@ class Writer:
 
 
 def read_records(source: BinaryIO) -> Iterator[OriginRecord | TableRecord]:
-    """The records in order; raises without a full end record."""
+    """The records in order; raises without a full end record that agrees with them, or with bytes behind it."""
+    origins = relations = values = total = 0
 
     def take(n: int) -> bytes:
         data = source.read(n)
@@ -104,16 +106,23 @@ def read_records(source: BinaryIO) -> Iterator[OriginRecord | TableRecord]:
     if magic != MAGIC or (major, minor, flags) != (1, 0, 0):
         raise FormatError("not a container of version 1.0 without flags")
     while True:
-        tag, kind, _, count0, count1, start, size = RECORD_HEADER.unpack(take(RECORD_HEADER.size))
+        tag, kind, marks, count0, count1, start, size = RECORD_HEADER.unpack(take(RECORD_HEADER.size))
         if size < RECORD_HEADER.size or size % 16 or not RECORD_HEADER.size <= start <= size:
             raise FormatError("a record's sizes are out of bounds")
         body = take(size - RECORD_HEADER.size)
         at = start - RECORD_HEADER.size
         if tag == LAST:
+            if (kind, marks, start, size) != (0, 0, RECORD_HEADER.size, RECORD_HEADER.size + END.size):
+                raise FormatError("the end record is malformed")
+            if (count0, count1, *END.unpack(body)) != (origins, relations, values, total):
+                raise FormatError("the end record's counts differ from the records")
+            if source.read(1):
+                raise FormatError("bytes follow the end record")
             return
         if tag == ORIGINS:
             if kind or start % 4 or count0 > at or at + 4 * count1 > len(body):
                 raise FormatError("an origin array does not fit its record")
+            origins, values = origins + 1, values + count1
             yield OriginRecord(body[:count0].decode(), np.frombuffer(body, "<u4", count1, at).tolist())
         elif tag == TABLE:
             if kind >= len(WORD_BYTES):
@@ -121,6 +130,7 @@ def read_records(source: BinaryIO) -> Iterator[OriginRecord | TableRecord]:
             width = WORD_BYTES[kind]
             if count0 > 8 * width or start % width or 4 * count0 > at or at + width * count1 > len(body):
                 raise FormatError("a table does not fit its record")
+            relations, total = relations + 1, total + count1
             words = body[at : at + width * count1]
             rows = np.frombuffer(words, f"<u{width}").tolist() if width < 16 else [int.from_bytes(words[i : i + 16], "little") for i in range(0, len(words), 16)]
             yield TableRecord(np.frombuffer(body, "<u4", count0).tolist(), rows, kind)
@@ -158,7 +168,15 @@ def read_system(spark: SparkSession, path: str) -> System:
     """The relations of the containers under path; raises for a table of more than 63 bits."""
     t = read_frame(spark, path).where("name is null")
     fits = F.when(F.size("bits") <= 63, F.col("rows")).otherwise(F.raise_error(F.lit("a table has more than 63 bits")).cast("array<long>"))
-    return System.unpacked(t.select(F.xxhash64("path", "ord").alias("table_id"), "bits", fits.alias("rows")))
+    t = cut(t.select("path", "ord", "bits", fits.alias("rows")), "container")
+    # Ids follow the files by name and the places in them, so that the least id is the first in file order.
+    counts = {r.path: r.n for r in t.groupBy("path").agg(F.max("ord").alias("n")).collect()}  # one row for each file
+    before, total = [], 0
+    for path_ in sorted(counts):
+        before.append((path_, total))
+        total += counts[path_] + 1
+    at = spark.createDataFrame(before, "path string, before long")
+    return System.unpacked(t.join(F.broadcast(at) if len(before) <= 10_000 else at, "path").select((F.col("before") + F.col("ord")).alias("table_id"), "bits", "rows"))
 
 
 def read_origins(spark: SparkSession, path: str, name: str | None = None) -> list[int]:

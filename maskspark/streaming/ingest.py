@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from maskspark.system import System
+from maskspark.system import RELATIONS, ROWS, System
 
 
 def read_relations(spark: SparkSession, path: str) -> DataFrame:
@@ -16,15 +16,25 @@ def read_relations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fold(stream: DataFrame, start: System, keep: Callable[[System], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch joins the system (equal schemas intersect) and keep() gets the result. Batches replay safely: intersection is idempotent."""
+    """Each micro-batch joins the system (equal schemas intersect) and keep() gets the result. The
+    folded system of each batch is written under checkpoint, named by the batch's number, so a
+    restarted query goes on from the batch before; a replayed batch is folded again onto the same one."""
     from pyspark.sql import functions as F
 
-    held = [start]
+    spark = stream.sparkSession
+    path = lambda n, part: f"{checkpoint.rstrip('/')}/folded/{n}/{part}"
 
-    def step(batch: DataFrame, _: int) -> None:
+    def before(n: int) -> System:
+        if n <= 0:
+            return start
+        return System(spark.read.schema(RELATIONS).parquet(path(n - 1, "relations")), spark.read.schema(ROWS).parquet(path(n - 1, "rows")))
+
+    def step(batch: DataFrame, n: int) -> None:
         new = System.unpacked(batch.select(F.xxhash64("bits", "rows").alias("table_id"), "bits", "rows").distinct())
-        both = System(held[0].relations.unionByName(new.relations), held[0].rows.unionByName(new.rows))
-        held[0] = both.canonical().saved()
-        keep(held[0])
+        held = before(n)
+        out = System(held.relations.unionByName(new.relations), held.rows.unionByName(new.rows)).canonical()
+        out.relations.write.mode("overwrite").parquet(path(n, "relations"))
+        out.rows.write.mode("overwrite").parquet(path(n, "rows"))
+        keep(before(n + 1))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

@@ -99,6 +99,12 @@ class System:
             raise ContradictionError(f"{what}: table over bits {empty[0].bits} has no rows")
         return self
 
+    def fingerprint(self) -> tuple:
+        """Counts and hash sums of schemas and rows: equal for equal systems, whatever their ids."""
+        row = self.rows.join(self.relations, "table_id").agg(F.count(F.lit(1)), F.sum(F.xxhash64("bits", "row").cast("decimal(38,0)"))).first()
+        schema = self.relations.agg(F.count(F.lit(1)), F.sum(F.xxhash64("bits").cast("decimal(38,0)"))).first()
+        return (*row, *schema)
+
     def counts(self) -> tuple[int, int, int]:
         """Relations, rows, distinct bits."""
         r = self.sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))).first()
