@@ -100,7 +100,11 @@ def latent_split(bits: list[int], rows: np.ndarray, side: int = 4, values: int =
         ls, rs = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
         if len(pairs) > edges or max(len(ls), len(rs)) > values:
             continue
-        cover = _biclique_cover(pairs, ls)
+        # A larger cover would make a factor as wide as the table, or wider than the best one found.
+        room = (k - 1 if best is None else best[0][0]) - max(len(left), len(right))
+        cover = _biclique_cover(pairs, ls, 1 << room) if room >= 0 else None
+        if cover is None:
+            continue
         width = max(0, (len(cover) - 1).bit_length())
         arity = max(len(left), len(right)) + width
         score = (arity, width, len(cover), mask)
@@ -109,10 +113,11 @@ def latent_split(bits: list[int], rows: np.ndarray, side: int = 4, values: int =
     return None if best is None else best[1:]
 
 
-def _biclique_cover(pairs: list[tuple[int, int]], lefts: list[int]) -> list[list[tuple[int, int]]]:
-    """The fewest closed bicliques that cover the pairs: all closed ones by intersecting rows, then
-    depth-first search with a growing limit, over bit masks. With at most 16 values on the left
-    there are at most 2^16 closed bicliques, and the search always ends with the least cover."""
+def _biclique_cover(pairs: list[tuple[int, int]], lefts: list[int], most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """The fewest closed bicliques that cover the pairs, or None if that takes more than `most`: all
+    closed ones by intersecting rows, then depth-first search with a growing limit, over bit masks.
+    With at most 16 values on the left there are at most 2^16 closed bicliques. Pairs of which no
+    two share a biclique bound the cover of what is left from below, which ends most branches."""
     place = {p: i for i, p in enumerate(pairs)}
     rights = sorted({b for _, b in pairs})
     column = {b: i for i, b in enumerate(rights)}
@@ -129,19 +134,24 @@ def _biclique_cover(pairs: list[tuple[int, int]], lefts: list[int]) -> list[list
     cliques = [m for i, m in enumerate(cliques) if not any(m & d == m for d in cliques[:i])]
     holders = [[m for m in cliques if m >> e & 1] for e in range(len(pairs))]
     by_need = sorted(range(len(pairs)), key=lambda e: (len(holders[e]), e))
-    # A set of pairs of which no two share a biclique is a lower bound of the cover.
-    apart, seen = 0, 0
-    for e in by_need:
-        if not seen >> e & 1:
-            apart += 1
-            for m in holders[e]:
-                seen |= m
+    together = [0] * len(pairs)
+    for e, own in enumerate(holders):
+        for m in own:
+            together[e] |= m
+
+    def apart(left: int) -> int:
+        """Pairs of left of which no two share a biclique, found greedily."""
+        n = 0
+        for e in by_need:
+            if left >> e & 1:
+                n += 1
+                left &= ~together[e]
+        return n
 
     def search(left: int, depth: int, dead: dict[int, int]) -> list[int] | None:
         if not left:
             return []
-        widest = max((m & left).bit_count() for m in cliques)
-        if depth * widest < left.bit_count() or dead.get(left, -1) >= depth:
+        if dead.get(left, -1) >= depth or apart(left) > depth:
             return None
         e = next(e for e in by_need if left >> e & 1)
         for m in sorted(holders[e], key=lambda m: -(m & left).bit_count()):
@@ -150,7 +160,9 @@ def _biclique_cover(pairs: list[tuple[int, int]], lefts: list[int]) -> list[list
         dead[left] = depth
         return None
 
-    limit = max(1, apart)
-    while (found := search((1 << len(pairs)) - 1, limit, {})) is None:
+    limit = max(1, apart((1 << len(pairs)) - 1))
+    while most is None or limit <= most:
+        if (found := search((1 << len(pairs)) - 1, limit, {})) is not None:
+            return [[p for p, i in place.items() if m >> i & 1] for m in found]
         limit += 1
-    return [[p for p, i in place.items() if m >> i & 1] for m in found]
+    return None

@@ -38,22 +38,40 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.expr(mask).alias("mask")).distinct()
 
 
-def system(spark: SparkSession, sf_dir: str, relations=RELATIONS) -> System:
-    """The system of the given schemas: each table is the universe's projection to its bits. One pass over the universe makes the rows of all relations."""
+#: Bits that all solutions kept by the perturbed system have.
+KEPT = (3, 5, 10, 11, 23, 24, 31, 40)
+
+
+def system(spark: SparkSession, sf_dir: str, relations=RELATIONS, perturbed: bool = False) -> System:
+    """The system of the given schemas: each table is the universe's projection to its bits. One pass
+    over the universe makes the rows of all relations. perturbed: of the rows that no combination
+    with all KEPT bits projects to, those with (5 * row + 3 * table_id) % 2 = 0 go, in each
+    relation others: so relations do not agree, yet the system has solutions."""
     place = {b: i for i, b in enumerate(PREDICATES)}
     from maskspark.functions.mask import project_to
 
     u = universe(spark, sf_dir)
     parts = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("table_id"), project_to(F.col("mask"), [place[b] for b in bits]).alias("row")) for i, bits in enumerate(relations))))
-    rows = u.select(parts.alias("x")).select("x.table_id", "x.row").distinct()
+    if perturbed:
+        kept = sum(1 << place[b] for b in KEPT)
+        each = u.select((F.col("mask").bitwiseAND(F.lit(kept)) == kept).alias("kept"), parts.alias("x")).groupBy("x.table_id", "x.row").agg(F.max("kept").alias("kept"))
+        rows = each.where("kept or (row * 5 + table_id * 3) % 2 <> 0").select("table_id", "row")
+    else:
+        rows = u.select(parts.alias("x")).select("x.table_id", "x.row").distinct()
     return System(spark.createDataFrame([(i, list(b)) for i, b in enumerate(relations)], "table_id long, bits array<long>"), rows)
 
 
-def sql(relations=RELATIONS) -> str:
+def sql(relations=RELATIONS, perturbed: bool = False) -> str:
     """DuckDB common table expressions of the same system: r(table_id, \"row\"), s(table_id, pos, bit), t(table_id, arity, row_count)."""
     columns = ", ".join(f"cast({p} as bigint) as b{b}" for b, p in PREDICATES.items())
     joins = " ".join(f"join {t} on {a} = {b}" for t, (a, b) in _SOURCES.items())
-    rows = " union all ".join(f"select distinct {i}::bigint as table_id, " + " + ".join(f"b{b} * {1 << k}" for k, b in enumerate(bits)) + " as \"row\" from u" for i, bits in enumerate(relations))
+    mask = lambda bits: " + ".join(f"b{b} * {1 << k}" for k, b in enumerate(bits))
+    if perturbed:
+        kept = " * ".join(f"b{b}" for b in KEPT)
+        each = " union all ".join(f"select {i}::bigint as table_id, {mask(bits)} as \"row\", max({kept}) as kept from u group by 1, 2" for i, bits in enumerate(relations))
+        rows = f"select table_id, \"row\" from ({each}) where kept = 1 or (\"row\" * 5 + table_id * 3) % 2 <> 0"
+    else:
+        rows = " union all ".join(f"select distinct {i}::bigint as table_id, {mask(bits)} as \"row\" from u" for i, bits in enumerate(relations))
     schema = ", ".join(f"({i}::bigint, {k}::bigint, {b}::bigint)" for i, bits in enumerate(relations) for k, b in enumerate(bits))
     return (
         f"with u as (select distinct {columns} from lineitem {joins}), r as ({rows}), s(table_id, pos, bit) as (values {schema}), "

@@ -30,7 +30,7 @@ def fold(stream: DataFrame, start: System, keep: Callable[[System], None], check
         return System(spark.read.schema(RELATIONS).parquet(path(n - 1, "relations")), spark.read.schema(ROWS).parquet(path(n - 1, "rows")))
 
     def step(batch: DataFrame, n: int) -> None:
-        new = System.unpacked(batch.select(F.xxhash64("bits", "rows").alias("table_id"), "bits", "rows").distinct())
+        new = System.unpacked(batch.select(F.xxhash64(F.size("bits"), "bits", "rows").alias("table_id"), "bits", "rows").distinct())
         held = before(n)
         out = System(held.relations.unionByName(new.relations), held.rows.unionByName(new.rows)).canonical()
         out.relations.write.mode("overwrite").parquet(path(n, "relations"))
