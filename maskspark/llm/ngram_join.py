@@ -45,6 +45,8 @@ NEIGHBOURS = 4
 LONG_LIST = 1 << 16
 #: Bytes of sets that one block of comparisons names (a set counts for each of its pairs).
 BLOCK_BYTES = 8 << 20
+#: Edges that one task contracts at most (some 50 MB of Python objects).
+TASK_EDGES = 250_000
 #: Bits of the smallest parity sketch, and earlier keys that tell whether a pair was met before.
 SKETCH_BITS, EARLIER = 512, 8
 #: Rows of wanted classes (24 bytes each) up to which they are broadcast to the documents; more are joined by a shuffle of the texts.
@@ -453,11 +455,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b); root is the component's smallest
-    node. Each task contracts its edges first; then large-star and small-star alternate. Every
+    node. Each task contracts its edges first, then what is left is contracted again in as few
+    tasks as task_edges allows; then large-star and small-star alternate. Every
     frame that is joined is written to the shared folder first, so that skewed joins can be split."""
-    edges = materialize(_contracted(edges.where("a <> b").distinct()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = materialize(_contracted(edges.where("a <> b").distinct()).distinct(), "edges")
+    edges = materialize(_contracted(edges.coalesce(max(1, -(-edges.count() // task_edges)))).distinct(), "edges")
     while True:
         ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():

@@ -140,3 +140,21 @@ def test_very_long_text(spark):
 def test_cost_chooses_by_the_lists_met():
     assert choose_boundary({n: 10 for n in range(3, 60)}, scan={n: 1.0 for n in range(3, 60)}) == 2
     assert choose_boundary({n: 10 for n in range(3, 400)}, scan={n: 500.0 for n in range(3, 400)}) > 200
+
+
+def test_components_in_one_task_and_in_many(spark):
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(45)] + [(7, 7)]
+    up = {x: x for e in edges for x in e}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    want = {(x, top(x)) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for most in (10, 1000):
+        assert sorted(map(tuple, components(df, most).collect())) == sorted(want)
+    assert components(df.limit(0)).collect() == []
