@@ -458,10 +458,15 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b); root is the component's smallest
     node. Each task contracts its edges first, then what is left is contracted again in as few
-    tasks as task_edges allows; then large-star and small-star alternate. Every
-    frame that is joined is written to the shared folder first, so that skewed joins can be split."""
-    edges = materialize(_contracted(edges.where("a <> b").distinct()).distinct(), "edges")
-    edges = materialize(_contracted(edges.coalesce(max(1, -(-edges.count() // task_edges)))).distinct(), "edges")
+    tasks as task_edges allows: one task leaves stars. Of more tasks, large-star and small-star
+    alternate. Every frame that is joined is written to the shared folder first, so that skewed
+    joins can be split."""
+    edges = materialize(_contracted(edges.where("a <> b")), "edges")
+    tasks = max(1, -(-edges.count() // task_edges))
+    edges = materialize(_contracted(edges.coalesce(tasks)), "edges")
+    if tasks == 1:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    edges = materialize(edges.distinct(), "edges")
     while True:
         ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
