@@ -492,7 +492,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 75, long_list: int = LONG
     ids = scan.where("kind = 0").select("doc_id", "tag", "text_hash", F.col("n").cast("int").alias("n_shingles"), F.col("key").alias("cls"), "check", "sketch", "small")
     order = share(spark, _global_order(scan.where("kind = 1").select("key", "n"), long_list))  # RANKED_SHINGLES entries at most
     # First hashes that name several sets: some n^2 / 2^65 of n sets, so a handful at any size.
-    clashing = frozenset(r[0] for r in ids.where("cls is not null").groupBy("cls").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("cls").toLocalIterator())
+    clashing = frozenset(r[0] for r in ids.where("cls is not null").groupBy("cls").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("cls").collect())
     if clashing:
         ids = ids.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("check")).otherwise(F.col("cls")))
     boundary = choose_boundary(
