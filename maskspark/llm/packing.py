@@ -313,7 +313,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, buck
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), of_length).cast("int"))
     first = np.cumsum(buckets) - buckets  # of each length in `before`: one entry for each bucket
     before = np.zeros(int(buckets.sum()), np.int64)
-    for r in cut.groupBy("length", "bucket").count().toLocalIterator():
+    for r in cut.groupBy("length", "bucket").count().collect():  # as many rows as `before` has entries, at most
         before[first[r["length"]] + r["bucket"]] = r["count"]
     for x in np.flatnonzero(buckets > 1).tolist():
         mine = before[first[x] : first[x] + buckets[x]]
