@@ -346,10 +346,10 @@ def _apart(x: Column, y: Column) -> Column:
 
 
 def _in_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, bytes) whose sketches leave the threshold in reach."""
+    """(a, b, bytes of both sets) of the pairs (a, b) whose sketches leave the threshold in reach."""
     named = lambda s: sketches.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     both = pairs.join(named("a"), "a").join(named("b"), "b")
-    return both.where((100 + percent) * _apart(F.col("sketch_a"), F.col("sketch_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "bytes")
+    return both.where((100 + percent) * _apart(F.col("sketch_a"), F.col("sketch_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", (8 * (F.col("n_a").cast("long") + F.col("n_b"))).alias("bytes"))
 
 
 def _sets(docs: DataFrame, standing: DataFrame, pairs: DataFrame, k: int, clashing: frozenset[int], broadcast_rows: int) -> DataFrame:
@@ -515,7 +515,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 75, long_list: int = LONG
     sketches = materialize(sketches.join(live.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "sketches")
 
     fits = lambda x, y: (F.col(f"{x}n") <= F.col(f"{y}cap")) & (F.col(f"{y}n") <= F.col(f"{x}cap")) & ((F.col(f"{x}place") < 0) | (F.greatest(F.col(f"{x}n"), F.col(f"{y}n")) > boundary))
-    pair = lambda x, y: (F.least(f"{x}cls", f"{y}cls").alias("a"), F.greatest(f"{x}cls", f"{y}cls").alias("b"), (8 * (F.col(f"{x}n").cast("long") + F.col(f"{y}n"))).alias("bytes"))
+    pair = lambda x, y: (F.least(f"{x}cls", f"{y}cls").alias("a"), F.greatest(f"{x}cls", f"{y}cls").alias("b"))
     w = Window.partitionBy("key", "part").orderBy(F.xxhash64("cls", F.lit(17)), "cls")
     me = F.struct("cls", "n", "cap", "place")
     near = live.select(me.alias("me"), F.array_compact(F.array(*(F.lead(me, s).over(w) for s in range(1, NEIGHBOURS + 1)))).alias("next")).select("me", F.explode("next").alias("you"))
