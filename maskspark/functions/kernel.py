@@ -39,49 +39,6 @@ def join_project(anchor: tuple[list[int], np.ndarray], others: list[tuple[list[i
     return np.unique(project(rows, [bits.index(b) for b in anchor[0]])), peak
 
 
-def lossless_split(bits: list[int], rows: np.ndarray) -> tuple[list[int], list[int]] | None:
-    """The best pair of smaller schemas whose projections join back to the rows: least largest
-    arity, then fewest rows, least total arity, most shared bits, first masks."""
-    k, n = len(bits), len(rows)
-    full = (1 << k) - 1
-    counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def distinct(mask: int) -> np.ndarray:
-        if mask not in counts:
-            counts[mask] = np.unique(rows & mask)
-        return counts[mask]
-
-    by_size: dict[int, list[int]] = {}
-    for m in range(1, full):
-        by_size.setdefault(m.bit_count(), []).append(m)
-    for most in range((k + 1) // 2, k):
-        best = None
-        for a in by_size[most]:
-            missing = full & ~a
-            extra = a  # the other side holds what a lacks and any part of a
-            sub = extra
-            while True:
-                b = missing | sub
-                if b.bit_count() <= most and (b.bit_count() < most or a <= b):
-                    left, right = sorted((a, b))
-                    l, r = distinct(left), distinct(right)
-                    score = (len(l) + len(r), left.bit_count() + right.bit_count(), -(left & right).bit_count(), left, right)
-                    if best is None or score < best:
-                        common = left & right
-                        u, c = np.unique(l & common, return_counts=True)
-                        v, d = np.unique(r & common, return_counts=True)
-                        both, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-                        if int((c[i] * d[j]).sum()) == n:
-                            best = score
-                if sub == 0:
-                    break
-                sub = (sub - 1) & extra
-        if best is not None:
-            pick = lambda m: [b for i, b in enumerate(bits) if m >> i & 1]
-            return pick(best[3]), pick(best[4])
-    return None
-
-
 def latent_split(bits: list[int], rows: np.ndarray, side: int = 4, values: int = 16, edges: int = 128) -> tuple[list[int], list[int], list[list[tuple[int, int]]]] | None:
     """A split into two sides joined by few new bits: the bipartite graph of side values is
     covered by the fewest closed bicliques, found by branch and bound; None if no split makes

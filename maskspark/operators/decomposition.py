@@ -2,38 +2,121 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskspark.functions.kernel import latent_split, lossless_split
-from maskspark.functions.mask import is_full, positions_of, project, project_each
-from maskspark.operators.joins import join_all
+from maskspark.functions.kernel import latent_split
+from maskspark.functions.mask import bit_at, is_full, positions_of, project, project_each, put, scatter
+from maskspark.operators.joins import join_all, join_pairs
+from maskspark.storage import cut
 from maskspark.system import System
 
+_PAIRS = "table_id long, row_count long, left long, right long, left_rows long, right_rows long"
 _SPLITS = "table_id long, kind string, left_bits array<long>, right_bits array<long>, latent_bits int, max_arity int"
 
 
+def _mask_pairs(spark: SparkSession, arity: int, largest: int) -> DataFrame:
+    """arity, left < right: the pairs of position masks that together cover `arity` positions, the larger of `largest` positions."""
+    every = (1 << arity) - 1
+    one = spark.range(1, every).select(F.col("id").alias("one")).where(F.bit_count("one") == largest)
+    held = F.filter(F.sequence(F.lit(0), F.lit(arity - 1)), lambda p: bit_at(F.col("one"), p) == 1)
+    extra = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << largest) - 1).cast("long")))  # what the other mask shares with it
+    both = one.select("one", held.alias("held"), extra.alias("extra"))
+    other = both.select("one", F.lit(every).bitwiseXOR(F.col("one")).bitwiseOR(scatter(F.col("extra"), F.col("held"))).alias("other"))
+    smaller = (F.bit_count("other") < largest) | ((F.bit_count("other") == largest) & (F.col("one") < F.col("other")))
+    return other.where(smaller).select(F.lit(arity).alias("arity"), F.least("one", "other").alias("left"), F.greatest("one", "other").alias("right"))
+
+
+def projection_splits(system: System, least: int = 3, most: int = 15) -> DataFrame:
+    """table_id, row_count, left, right (position masks), left_rows, right_rows: for each relation of
+    least..most bits with rows, the best pair of smaller projections that join back to it exactly,
+    where there is one: least largest arity, then fewest rows, least total arity, most shared bits,
+    first masks. A relation never has more rows than such a join, so a pair is lossless just if the
+    join is as large; its size follows from the counts of both projections by shared assignment.
+    Largest arities are tried from half the bits upwards, and only relations without a split go on.
+    For one relation of k bits there are up to 3^k pairs, and up to 2^k projections of its rows."""
+    spark = system.relations.sparkSession
+    todo = cut(system.sized.where(F.col("arity").between(least, most) & (F.col("row_count") > 0)).select("table_id", "arity", "row_count"), "unsplit")
+    arities = sorted(r.arity for r in todo.select("arity").distinct().collect())
+    if not arities:
+        return spark.createDataFrame([], _PAIRS)
+    masks = todo.select("table_id", F.explode(F.sequence(F.lit(1).cast("long"), put(F.lit(1), F.col("arity")) - 2)).alias("mask"))
+    seen = cut(masks.join(system.rows, "table_id").select("table_id", "mask", F.col("row").bitwiseAND(F.col("mask")).alias("part")).distinct(), "projections")
+    found = []
+    for largest in range((arities[0] + 1) // 2, arities[-1]):
+        open_ = [k for k in arities if (k + 1) // 2 <= largest < k]
+        if not open_:
+            continue
+        pairs = todo.join(reduce(DataFrame.unionByName, (_mask_pairs(spark, k, largest) for k in open_)), "arity")
+        sides = pairs.select("table_id", "row_count", "left", "right", F.explode(F.array(F.struct(F.col("left").alias("mask"), F.lit(True).alias("is_left")), F.struct(F.col("right").alias("mask"), F.lit(False).alias("is_left")))).alias("x"))
+        sides = sides.select("table_id", "row_count", "left", "right", "x.mask", "x.is_left").join(seen, ["table_id", "mask"])
+        shared = F.col("part").bitwiseAND(F.col("left")).bitwiseAND(F.col("right")).alias("key")
+        counts = sides.groupBy("table_id", "row_count", "left", "right", shared).agg(F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r"))
+        sizes = counts.groupBy("table_id", "row_count", "left", "right").agg(F.sum(F.col("l") * F.col("r")).alias("join_rows"), F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
+        score = F.struct(
+            (F.col("left_rows") + F.col("right_rows")).alias("rows"),
+            (F.bit_count("left") + F.bit_count("right")).alias("arity"),
+            (-F.bit_count(F.col("left").bitwiseAND(F.col("right")))).alias("shared"),
+            "left", "right", "left_rows", "right_rows",
+        )
+        best = sizes.where("join_rows = row_count").groupBy("table_id", "row_count").agg(F.min(score).alias("x"))
+        best = cut(best.select("table_id", "row_count", *(f"x.{c}" for c in ("left", "right", "left_rows", "right_rows"))), "splits")
+        found.append(best)
+        todo = cut(todo.join(best, "table_id", "left_anti"), "unsplit")
+    return reduce(DataFrame.unionByName, found)
+
+
+def named_by(mask: Column, bits: Column | str) -> Column:
+    """Those of bits whose position is in the mask."""
+    return F.filter(bits, lambda _, i: bit_at(mask, i) == 1)
+
+
+def projection_factors(system: System, found: DataFrame) -> System:
+    """Both factors of each split that projection_splits() found: of relation t, 2t is the left one and 2t + 1 the right one."""
+    sides = F.explode(F.array(*(F.struct((F.col("table_id") * 2 + i).alias("factor"), F.col(c).alias("mask")) for i, c in enumerate(("left", "right")))))
+    parts = found.select("table_id", sides.alias("x")).join(system.relations, "table_id").select("table_id", "x.factor", "bits", named_by(F.col("x.mask"), "bits").alias("own"))
+    rows = parts.select("table_id", "factor", positions_of(F.col("own"), F.col("bits")).alias("at")).join(system.rows, "table_id").select(F.col("factor").alias("table_id"), project(F.col("row"), F.col("at")).alias("row")).distinct()
+    return System(parts.select(F.col("factor").alias("table_id"), F.col("own").alias("bits")), rows)
+
+
+def lost_or_added(system: System, factors: System) -> DataFrame:
+    """table_id, row: rows by which the factors' joins differ from the relations that they were made of; none if they are exact."""
+    own = factors.relations.select(F.expr("table_id div 2").alias("table_id"), (F.col("table_id") % 2).alias("side"), "bits")
+    pair = own.where("side = 0").select("table_id", F.col("bits").alias("l_bits")).join(own.where("side = 1").select("table_id", F.col("bits").alias("r_bits")), "table_id").join(system.relations, "table_id")
+    pairs = pair.select((F.col("table_id") * 2).alias("l_table_id"), (F.col("table_id") * 2 + 1).alias("r_table_id"), F.array_intersect("l_bits", "r_bits").alias("shared"), "l_bits", "r_bits", F.col("bits").alias("union"))
+    joined = join_pairs(pairs, factors).select(F.expr("l_table_id div 2").alias("table_id"), "row").distinct()
+    rows = system.rows.join(pair, "table_id", "left_semi")
+    return joined.subtract(rows).unionByName(rows.subtract(joined))
+
+
 def splits(system: System, least: int = 3, most: int = 15, canonical: bool = True) -> DataFrame:
-    """The split of each table of least..most bits: a lossless projection, else one by latent bits, else `none`. Relations are independent; each is one row of its task."""
+    """The split of each relation of least..most bits: a lossless projection, else one by latent bits,
+    else `none`. Projections are found for all relations at once; of the rest, each is one row of its task."""
+    system = (system.canonical() if canonical else system).saved()
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
                 bits, rows = list(map(int, r.bits)), np.asarray(r.rows, np.int64)
-                if found := lossless_split(bits, rows):
-                    out.append((r.table_id, "projection", *found, 0, max(map(len, found))))
-                elif hidden := latent_split(bits, rows):
+                if hidden := latent_split(bits, rows):
                     width = max(0, (len(hidden[2]) - 1).bit_length())
                     out.append((r.table_id, "latent", hidden[0], hidden[1], width, max(len(hidden[0]), len(hidden[1])) + width))
                 else:
                     out.append((r.table_id, "none", [], [], 0, len(bits)))
             yield pd.DataFrame(out, columns=["table_id", "kind", "left_bits", "right_bits", "latent_bits", "max_arity"])
 
-    packed = (system.canonical() if canonical else system).packed().where(F.size("bits").between(least, most) & (F.size("rows") > 0))
-    return packed.select("table_id", "bits", "rows").mapInPandas(run, _SPLITS)
+    found = cut(projection_splits(system, least, most), "splits")
+    known = found.join(system.relations, "table_id").select(
+        "table_id", F.lit("projection").alias("kind"), named_by(F.col("left"), "bits").alias("left_bits"), named_by(F.col("right"), "bits").alias("right_bits"),
+        F.lit(0).alias("latent_bits"), F.greatest(F.bit_count("left"), F.bit_count("right")).alias("max_arity"),
+    )
+    rest = system.packed().join(found, "table_id", "left_anti").where(F.size("bits").between(least, most) & (F.size("rows") > 0))
+    return known.unionByName(rest.select("table_id", "bits", "rows").mapInPandas(run, _SPLITS))
 
 
 def subtables(system: System, k: int) -> System:

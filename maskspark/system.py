@@ -11,11 +11,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskspark.functions.mask import is_full, positions_of, project
-from maskspark.storage import cut
+from maskspark.storage import cut, numbered
 
 RELATIONS = "table_id long, bits array<long>"
 ROWS = "table_id long, row long"
@@ -77,14 +77,7 @@ class System:
     def indexed(self) -> System:
         """Ids by (arity, bits) from 0: the canonical order, counted over ranges without one task for all relations."""
         keyed = self.relations.select(F.size("bits").alias("arity"), "bits", F.col("table_id").alias("old"))
-        dealt = cut(keyed.repartitionByRange("arity", "bits", "old").withColumn("part", F.spark_partition_id()), "order")
-        sizes = sorted((r.part, r["count"]) for r in dealt.groupBy("part").count().collect())  # one row for each range
-        before, total = {}, 0
-        for part, n in sizes:
-            before[part], total = total, total + n
-        start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else None
-        number = F.row_number().over(Window.partitionBy("part").orderBy("arity", "bits", "old")) - 1
-        new = dealt.withColumn("new", (number + (F.element_at(start, F.col("part")) if before else F.lit(0))).cast("long"))
+        new = numbered(keyed, "arity", "bits", "old", name="new")
         rows = self.rows.join(new.select("old", "new"), self.rows["table_id"] == new["old"]).select(F.col("new").alias("table_id"), "row")
         return System(new.select(F.col("new").alias("table_id"), "bits"), rows)
 
