@@ -31,6 +31,28 @@ def _mask_pairs(spark: SparkSession, arity: int, largest: int) -> DataFrame:
     return other.where(smaller).select(F.lit(arity).alias("arity"), F.least("one", "other").alias("left"), F.greatest("one", "other").alias("right"))
 
 
+def _two_bits(spark: SparkSession, arity: int) -> DataFrame:
+    """arity, mask, a < b: each mask with each two of its positions."""
+    masks = spark.range(1, 1 << arity).select(F.lit(arity).alias("arity"), F.col("id").alias("mask"))
+    held = masks.select("*", F.explode(F.sequence(F.lit(0), F.lit(arity - 1))).alias("a")).where(bit_at(F.col("mask"), F.col("a")) == 1)
+    both = held.select("*", F.explode(F.sequence(F.col("a"), F.lit(arity - 1))).alias("b"))
+    return both.where((F.col("a") < F.col("b")) & (bit_at(F.col("mask"), F.col("b")) == 1))
+
+
+def _dependent_bits(todo: DataFrame, seen: DataFrame, arities: list[int]) -> DataFrame:
+    """table_id, shared, edges: for each set of positions, the pairs of other positions (as masks)
+    that depend on each other once the shared ones are known: some assignment of the shared
+    positions occurs with a set of values of the pair that is no product of two sets."""
+    pairs = reduce(DataFrame.unionByName, (_two_bits(todo.sparkSession, k) for k in arities))
+    each = todo.select("table_id", "arity").join(pairs, "arity").drop("arity").join(seen, ["table_id", "mask"])
+    edge = put(F.lit(1), F.col("a")).bitwiseOR(put(F.lit(1), F.col("b")))
+    state = put(F.lit(1), bit_at(F.col("part"), F.col("a")) * 2 + bit_at(F.col("part"), F.col("b"))).cast("int")
+    keyed = each.select("table_id", edge.alias("edge"), F.col("mask").bitwiseXOR(edge).alias("shared"), F.col("part").bitwiseAND(F.bitwise_not(edge)).alias("key"), state.alias("state"))
+    states = keyed.groupBy("table_id", "shared", "edge", "key").agg(F.bit_or("state").alias("states"))
+    tied = (F.bit_count("states") == 3) | F.col("states").isin(0b1001, 0b0110)
+    return states.groupBy("table_id", "shared").agg(F.collect_set(F.when(tied, F.col("edge"))).alias("edges"))
+
+
 def projection_splits(system: System, least: int = 3, most: int = 15) -> DataFrame:
     """table_id, row_count, left, right (position masks), left_rows, right_rows: for each relation of
     least..most bits with rows, the best pair of smaller projections that join back to it exactly,
@@ -38,24 +60,31 @@ def projection_splits(system: System, least: int = 3, most: int = 15) -> DataFra
     first masks. A relation never has more rows than such a join, so a pair is lossless just if the
     join is as large; its size follows from the counts of both projections by shared assignment.
     Largest arities are tried from half the bits upwards, and only relations without a split go on.
-    For one relation of k bits there are up to 3^k pairs, and up to 2^k projections of its rows."""
+    A split also splits each two bits of different sides, so only pairs that no dependent two bits
+    cross are counted. For one relation of k bits there are up to 3^k pairs of masks, and 2^k
+    projections of its rows."""
     spark = system.relations.sparkSession
     todo = cut(system.sized.where(F.col("arity").between(least, most) & (F.col("row_count") > 0)).select("table_id", "arity", "row_count"), "unsplit")
     arities = sorted(r.arity for r in todo.select("arity").distinct().collect())
     if not arities:
         return spark.createDataFrame([], _PAIRS)
-    masks = todo.select("table_id", F.explode(F.sequence(F.lit(1).cast("long"), put(F.lit(1), F.col("arity")) - 2)).alias("mask"))
+    masks = todo.select("table_id", F.explode(F.sequence(F.lit(1).cast("long"), put(F.lit(1), F.col("arity")) - 1)).alias("mask"))
     seen = cut(masks.join(system.rows, "table_id").select("table_id", "mask", F.col("row").bitwiseAND(F.col("mask")).alias("part")).distinct(), "projections")
+    edges = cut(_dependent_bits(todo, seen, arities), "dependent")
     found = []
     for largest in range((arities[0] + 1) // 2, arities[-1]):
         open_ = [k for k in arities if (k + 1) // 2 <= largest < k]
         if not open_:
             continue
-        pairs = todo.join(reduce(DataFrame.unionByName, (_mask_pairs(spark, k, largest) for k in open_)), "arity")
+        made = reduce(DataFrame.unionByName, (_mask_pairs(spark, k, largest) for k in open_)).withColumn("shared", F.col("left").bitwiseAND(F.col("right")))
+        own = [F.bit_count(c) - F.bit_count("shared") for c in ("left", "right")]
+        few = F.size("edges") * 2 <= sum((n * (n - 1) for n in own), F.lit(0))  # as many as fit within the sides
+        across = F.exists("edges", lambda e: (e.bitwiseAND(F.col("left").bitwiseXOR(F.col("shared"))) != 0) & (e.bitwiseAND(F.col("right").bitwiseXOR(F.col("shared"))) != 0))
+        pairs = todo.join(edges, "table_id").join(made, ["arity", "shared"]).where(few & ~across)
         sides = pairs.select("table_id", "row_count", "left", "right", F.explode(F.array(F.struct(F.col("left").alias("mask"), F.lit(True).alias("is_left")), F.struct(F.col("right").alias("mask"), F.lit(False).alias("is_left")))).alias("x"))
         sides = sides.select("table_id", "row_count", "left", "right", "x.mask", "x.is_left").join(seen, ["table_id", "mask"])
-        shared = F.col("part").bitwiseAND(F.col("left")).bitwiseAND(F.col("right")).alias("key")
-        counts = sides.groupBy("table_id", "row_count", "left", "right", shared).agg(F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r"))
+        key = F.col("part").bitwiseAND(F.col("left")).bitwiseAND(F.col("right")).alias("key")
+        counts = sides.groupBy("table_id", "row_count", "left", "right", key).agg(F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r"))
         sizes = counts.groupBy("table_id", "row_count", "left", "right").agg(F.sum(F.col("l") * F.col("r")).alias("join_rows"), F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
         score = F.struct(
             (F.col("left_rows") + F.col("right_rows")).alias("rows"),
