@@ -9,8 +9,9 @@ Training takes, for each language, at most TRAIN_DOCS documents of the given row
 hash of the id (a documented bound of the classifier); everything else covers whole texts.
 
 Edge cases. Null text or no letter: `und`, score 0. No training row: `und` for every text. Ties:
-the first language in alphabetical order. More than LANGUAGES values of lang are an error. Repeated
-rows each give a row and each count in training; null doc_id is never a training row but is kept; extra columns are ignored; an empty table gives an empty result.
+the first language in alphabetical order. Any number of languages: beyond LANGUAGES, each doubling
+halves the number of hashed trigrams that a language has scores for, so a model stays below 2^25 scores.
+Repeated rows each give a row and each count in training; null doc_id is never a training row but is kept; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ FOREIGN = 20.0
 #: Least share of a language's letters for it to use a script.
 USES = 0.01
 
-#: Values of lang that a model holds at most: half a megabyte each.
+#: Languages for which a model keeps all FEATURE_BITS of its trigrams: half a megabyte each.
 LANGUAGES = 256
+#: Words whose scores are added at once.
+WORDS_AT_ONCE = 1 << 12
 
 _LETTER = regex.compile(r"\p{L}")
 #: Scripts by ranges of code points (fixed values); letters outside them have script 0, which every language may use.
@@ -119,7 +122,12 @@ class Model:
     def word_scores(self, words: Words) -> np.ndarray:
         if not len(words.first):
             return np.zeros((0, len(self.languages)), np.float32)
-        s = np.add.reduceat(self.scores[words.codes], words.first, axis=0)
+        codes = words.codes >> (FEATURE_BITS + 1 - len(self.scores).bit_length())
+        s = np.empty((len(words.first), len(self.languages)), np.float32)
+        ends = np.append(words.first[1:], len(codes))
+        for a in range(0, len(s), WORDS_AT_ONCE):
+            mine = words.first[a : a + WORDS_AT_ONCE]
+            s[a : a + WORDS_AT_ONCE] = np.add.reduceat(self.scores[codes[mine[0] : ends[a + len(mine) - 1]]], mine - mine[0], axis=0)
         known = self.uses[words.script]
         return s - np.where(known.any(1, keepdims=True) & ~known, FOREIGN, 0).astype(np.float32)
 
@@ -127,11 +135,13 @@ class Model:
         """The language of each word of one text."""
         return viterbi(scores[:, None, :])[:, 0]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None], known: bool = False) -> list[tuple[str, float]]:
+        """(language, share of the letters in its spans) of each text; known: letters of scripts that no language uses are in no span."""
         out = [("und", 0.0)] * len(texts)
         voiced = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
         words = words_of([texts[i] for i in voiced])
         scores = self.word_scores(words)
+        counted = words.size * self.uses[words.script].any(1) if known and len(words.size) else words.size
         held = np.bincount(words.text, minlength=len(voiced))
         begin = np.cumsum(held) - held
         order, at = np.argsort(-held, kind="stable"), 0
@@ -140,13 +150,14 @@ class Model:
             group = order[at : at + max(1, min(512, (1 << 19) // longest))]
             at += len(group)
             grid = np.zeros((longest, len(group), len(self.languages)), np.float32)
-            size = np.zeros((longest, len(group)), np.int64)
+            size, mine = np.zeros((longest, len(group)), np.int64), np.zeros((longest, len(group)), np.int64)
             for k, d in enumerate(group):
                 grid[: held[d], k] = scores[begin[d] : begin[d] + held[d]]
                 size[: held[d], k] = words.size[begin[d] : begin[d] + held[d]]
+                mine[: held[d], k] = counted[begin[d] : begin[d] + held[d]]
             label = viterbi(grid)
-            shares = np.stack([(size * (label == k)).sum(0) for k in range(len(self.languages))], 1)
-            total = shares.sum(1)
+            shares = np.stack([(mine * (label == k)).sum(0) for k in range(len(self.languages))], 1)
+            total = size.sum(0)
             best = np.where(total > 0, shares.argmax(1), grid.sum(0).argmax(1))
             for k, d in enumerate(group):
                 out[voiced[d]] = (self.languages[best[k]], float(shares[k, best[k]] / total[k]) if total[k] else 0.0)
@@ -194,12 +205,14 @@ def train(rows: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
 
     counts: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
+    folds = 0
     for r in map_pieces(sample, "text", "lang string, counts binary, scripts binary", make, PIECE).toLocalIterator():
         used, n = np.frombuffer(r.counts, np.int32).reshape(2, -1)
-        counts.setdefault(r.lang, np.zeros(1 << FEATURE_BITS))[used] += n
+        np.add.at(counts.setdefault(r.lang, np.zeros(1 << (FEATURE_BITS - folds), np.float32)), used >> folds, n)
         scripts[r.lang] = scripts.get(r.lang, 0) + np.frombuffer(r.scripts, np.int64)
-        if len(counts) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages to learn")
+        if len(counts) > LANGUAGES << folds:
+            folds += 1
+            counts = {lang: c.reshape(-1, 2).sum(1) for lang, c in counts.items()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((1 << FEATURE_BITS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
@@ -214,9 +227,14 @@ def train(rows: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     return Model(languages, p.astype(np.float32), uses)
 
 
+def piece_bytes(model: Model) -> int:
+    """Text that is scored at once: less for many languages, as each word has a score for each."""
+    return max(1 << 13, PIECE * 8 // max(8, len(model.languages)))
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs (doc_id, text)."""
-    shared = share(docs.sparkSession, model)  # half a megabyte for each of LANGUAGES languages at most
+    shared = share(docs.sparkSession, model)  # 2^25 scores of four bytes at most
 
     def make():
         model = shared()
@@ -227,12 +245,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
         return step
 
-    return map_pieces(docs.select("doc_id", "text"), "text", "doc_id long, lang_pred string, score double", make, PIECE)
+    return map_pieces(docs.select("doc_id", "text"), "text", "doc_id long, lang_pred string, score double", make, piece_bytes(model))
 
 
 def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of docs, all columns, with a language of score at least `least`."""
-    shared = share(docs.sparkSession, model)
+    """The rows of docs, all columns, with a language of score at least `least`. Letters of a script that no learned language uses count against every language."""
+    shared, limit = share(docs.sparkSession, model), piece_bytes(model)
 
     def run(batches):
         from maskspark.llm.common import forget, pieces
@@ -240,8 +258,8 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
         forget()
         model = shared()
         for batch in batches:
-            for piece in pieces(batch, "text", PIECE):
-                keep = [lang != "und" and score >= least for lang, score in model.predict(piece["text"].to_pylist())]
+            for piece in pieces(batch, "text", limit):
+                keep = [lang != "und" and score >= least for lang, score in model.predict(piece["text"].to_pylist(), known=True)]
                 yield piece.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

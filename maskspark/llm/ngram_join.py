@@ -186,7 +186,7 @@ def _scan_docs(docs: DataFrame, k: int, percent: int) -> DataFrame:
     t = _Threshold(percent)
 
     def make():
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []  # each distinct set of the block
 
         def close() -> tuple:
@@ -217,9 +217,9 @@ def _scan_docs(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sizes.append(len(s))
                 classes.append(c)
                 checks.append(check)
-                new = c is not None and c not in seen
+                new = c is not None and (c, check) not in seen
                 if new:
-                    seen.add(c)
+                    seen.add((c, check))
                     held.append(s)
                 wide.append(_sketch(s) if new and len(s) > 2 else None)
                 small.append(None if wide[-1] is None else _folded(wide[-1]))
@@ -316,7 +316,7 @@ def _postings(docs: DataFrame, k: int, boundary: int, percent: int, order, clash
 
     def make():
         t, ordered = _Threshold(percent), order().sorted
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
 
         def step(piece: pa.RecordBatch) -> dict:
             found: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -359,7 +359,7 @@ def _sets(docs: DataFrame, standing: DataFrame, pairs: DataFrame, k: int, clashi
     found = texts.join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted.hint("merge"), ["tag", "text_hash"]).select("cls", "text")
 
     def make():
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
 
         def step(piece: pa.RecordBatch) -> dict:
             out: dict = {"cls": [], "elements": []}

@@ -222,16 +222,24 @@ def _stems(size: int) -> Column:
     return F.transform(F.filter("words", lambda x: F.length(x) > size), lambda x: F.concat(F.lit(str(size)), F.substring(x, 1, size)))
 
 
+#: Words of a shingle, and the rounds in which near copies are looked for, each by some least hashes of a text's shingles.
+SHINGLE, ROUNDS, HASHES = 5, 6, 3
+
+
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic, words) of the training sample: at most `rows` labelled rows of each class; of near copies, which share a least hash of their long words, the one of least hash."""
+    """(text, toxic, words) of the training sample: all labelled rows, or as many whole classes of
+    hashes as `rows` of each kind hold. Near copies count once: in each round, texts that agree in
+    some least hashes of their word shingles are one, so unrelated texts, which share next to no shingle, all stay."""
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = least_hashed(one, "toxic", rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic", F.split(F.lower("text"), r"[^\p{L}\p{M}']+").alias("words"))
-    long_ = F.filter("words", lambda x: F.length(x) >= 8)
-    for seed in map(F.lit, range(3)):
-        least = F.array_min(F.transform(long_, _salt(seed)))
-        chosen = chosen.groupBy("toxic", F.coalesce(least, F.xxhash64("text")).alias("sketch")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "words")).alias("x")).select("toxic", "x.text", "x.words")
-    return chosen
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)))
+    chosen = chosen.withColumn("shingles", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, SHINGLE))))
+    for n in range(ROUNDS):
+        least = [F.array_min(F.transform("shingles", _salt(F.lit(seed)))) for seed in range(n * HASHES, (n + 1) * HASHES)]
+        first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "words", "shingles")).alias("x")
+        chosen = chosen.groupBy("toxic", F.struct(*least).alias("sketch")).agg(first).select("toxic", "x.text", "x.words", "x.shingles")
+    return chosen.drop("shingles")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

@@ -155,3 +155,38 @@ def test_learned_rows_repeat_and_clash(spark):
     clash = docs.withColumnRenamed("lang_pred", "predicted").withColumn("toxic", F.lit(9))
     scored = toxicity.score(clash, toxicity.train(clash, spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int"))).collect()
     assert len(scored) == 6 and len({(r.doc_id, r.score) for r in scored}) == 3
+
+
+def test_any_number_of_languages(spark):
+    """Beyond LANGUAGES, models fold their trigrams and still tell the languages apart."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(300 * 8)]
+    rows = [(d * 1000 + i, " ".join(r.choice(words[8 * i : 8 * i + 8]) for _ in range(30)), f"l{i:03}") for i in range(300) for d in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model.languages) == 300 and model.scores.shape == (1 << (language.FEATURE_BITS - 1), 300)
+    right = language.identify(docs, model).join(docs, "doc_id").where("lang_pred = lang").count()
+    assert right >= 0.95 * len(rows)
+
+
+def test_unknown_scripts_are_not_recognised(spark):
+    rows = [(1, "the house and the water " * 5, "en"), (2, "это вода и дом " * 5, "ru"), (3, "漢字の文章 " * 20, "xx"), (4, "the house 漢字漢字", "xx"), (5, "the house and water 漢", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs.where("lang <> 'xx'"))
+    assert sorted(r.doc_id for r in language.recognised(docs, model, 0.7).collect()) == [1, 2, 5]
+    assert all(r.lang_pred in ("en", "ru") for r in language.identify(docs, model).collect())
+
+
+def test_training_keeps_unrelated_rows(spark):
+    """Texts that share words, even a rare one, all stay; near copies count once."""
+    r = random.Random(7)
+    pool = [f"{a}{b}word" for a in "bcdfghjklm" for b in "aeiou"] + ["extraordinary"]
+    text = lambda: " ".join(r.choice(pool) for _ in range(60)) + " extraordinary"
+    rows = [(i, text()) for i in range(300)]
+    base = text().split()
+    rows += [(1000 + i, " ".join([*base[:-1], f"last{i}"])) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows[:300]] + [(1000 + i, 1) for i in range(50)], "doc_id long, toxic int")
+    kept = toxicity._sample(docs, labels, 3000).collect()
+    texts = {x.text for x in kept}
+    assert {t for _, t in rows[:300]} <= texts and len(texts) <= 310
