@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskspark.functions.mask import bit_at, put, rank
 from maskspark.operators.joins import shared_pairs, shared_row_counts
+from maskspark.storage import cut, numbered
 from maskspark.system import System
 
 
@@ -131,13 +132,30 @@ def prediction_errors(system: System) -> DataFrame:
     e = long_.select("predictor", "shared_bits", F.abs(F.col("predicted") - F.col("actual")).alias("rows"), F.abs(power("predicted") - power("actual")).alias("ranks"), log.alias("log"), q.alias("q"), (F.col("predicted") < 0.5).alias("said_empty"), (F.col("actual") == 0).alias("is_empty"))
     count = lambda c: F.sum(c.cast("long"))
     said, is_ = F.col("said_empty"), F.col("is_empty")
-    at = lambda f: F.element_at(F.array_sort(F.collect_list("q")), (F.round((F.count(F.lit(1)) - 1) * f) + 1).cast("int"))
     stats = [
         F.count(F.lit(1)).alias("pairs"), F.avg("rows").alias("mean_abs_rows"), F.avg("ranks").alias("mean_abs_rank"), F.avg(F.abs("log")).alias("mean_abs_log2"), F.sqrt(F.avg(F.col("log") * F.col("log"))).alias("rmse_log2"),
-        F.avg("q").alias("mean_q"), at(0.5).alias("median_q"), at(0.95).alias("p95_q"), F.max("q").alias("max_q"),
+        F.avg("q").alias("mean_q"), F.max("q").alias("max_q"),
         F.try_divide(count(said & is_), count(said)).alias("empty_precision"), F.try_divide(count(said & is_), count(is_)).alias("empty_recall"),
     ]
-    return e.groupBy("predictor", "shared_bits").agg(*stats).unionByName(e.groupBy("predictor").agg(*stats).withColumn("shared_bits", F.lit(None).cast("int")))
+    e = cut(e, "errors")
+    whole = e.withColumn("shared_bits", F.lit(None).cast("int"))
+    parts = []
+    for df in (e, whole):
+        keys = ["predictor", "shared_bits"]
+        at = _nearest_ranks(df, "q", keys, {"median_q": 0.5, "p95_q": 0.95}).toDF("at_predictor", "at_shared_bits", "median_q", "p95_q")
+        found = df.groupBy(*keys).agg(*stats)
+        parts.append(found.join(at, (F.col("predictor") == F.col("at_predictor")) & F.col("shared_bits").eqNullSafe(F.col("at_shared_bits"))).drop("at_predictor", "at_shared_bits"))
+    return parts[0].unionByName(parts[1])
+
+
+def _nearest_ranks(df: DataFrame, value: str, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """keys and, for each quantile q, the value at place round((n - 1) * q) of its n ascending ones.
+    Rows are numbered over ranges of all keys and values, so no task gathers a group."""
+    ranked = numbered(df.select(*keys, value), *keys, value)
+    groups = ranked.groupBy(*keys).agg(F.min("number").alias("start"), F.count(F.lit(1)).alias("n"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), (F.col("start") + F.round((F.col("n") - 1) * q).cast("long")).alias("number")) for name, q in quantiles.items())))
+    chosen = groups.select(wanted.alias("x")).select("x.*").join(ranked, "number")
+    return chosen.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in quantiles))
 
 
 def worst_predictions(system: System, predictor: str = "uniform", limit: int = 10) -> DataFrame:
