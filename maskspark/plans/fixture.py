@@ -111,3 +111,23 @@ def family_sql() -> str:
     rows = " union all ".join("select distinct table_id, " + " + ".join(f"b{b} * {1 << k}" for k, b in enumerate(bits)) + f" as \"row\" from u where table_id % {n} = {i}" for i, bits in enumerate(FAMILY))
     schema = " union all ".join(f"select distinct table_id, {k}::bigint as pos, {b}::bigint as bit from u where table_id % {n} = {i}" for i, bits in enumerate(FAMILY) for k, b in enumerate(bits))
     return f"with u as (select l_partkey as table_id, {columns} from lineitem {joins}), r as ({rows}), s as ({schema}), t as (select table_id, 8::bigint as arity, count(*) as row_count from r group by 1) "
+
+
+#: 100 predicates on a line item, in SQL that Spark and DuckDB share: the bits of the wide family.
+WIDE = (
+    *(f"l_quantity >= {k}" for k in range(1, 51)),
+    *(f"l_discount >= 0.{k:02}" for k in range(1, 11)),
+    *(f"l_tax >= 0.{k:02}" for k in range(1, 9)),
+    *(f"l_extendedprice >= {k}" for k in range(5_000, 105_000, 5_000)),
+    *(f"l_linenumber >= {k}" for k in range(2, 8)),
+    "l_returnflag = 'A'", "l_returnflag = 'N'", "l_returnflag = 'R'", "l_linestatus = 'F'", "l_linestatus = 'O'", "l_shipdate >= timestamp '1995-01-01 00:00:00'",
+)
+
+
+def wide_family(spark: SparkSession, sf_dir: str):
+    """One relation of 100 bits for each part, over all its line items."""
+    from maskspark.wide import WideSystem, packed
+
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    rows = items.select(F.col("l_partkey").alias("table_id"), packed([F.expr(p) for p in WIDE]).alias("words")).distinct()
+    return WideSystem(rows.select("table_id").distinct().select("table_id", F.sequence(F.lit(0).cast("long"), F.lit(len(WIDE) - 1).cast("long")).alias("bits")), rows)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskspark.functions.mask import project, project_to
 from maskspark.operators import bundles, decomposition, dependencies, graph, joins, local_consistency, metrics, ranking, reductions
+from maskspark import wide
 from maskspark.plans import chains, fixture
 from maskspark.plans.pipeline import reduce_system, with_assignment
 from maskspark.sources import container
@@ -471,6 +472,41 @@ def container_roundtrip(s: System) -> DataFrame:
     return shown(container.read_system(s.relations.sparkSession, path))
 
 
+#: Bits that the wide projections keep: on both sides of a word's border.
+_WIDE_KEPT = [*range(0, 100, 7), 62, 64, 65, 66, 97, 99]
+
+
+def _wide_text(bits) -> str:
+    return " || ".join(f"cast(cast(coalesce({fixture.WIDE[b]}, false) as int) as varchar)" for b in sorted(set(bits)))
+
+
+def wide_container_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of 100 bits, written as containers of 128-bit words, read back, and projected to bits of both words."""
+    path = scratch(spark, "wide")
+    wide.write_containers(fixture.wide_family(spark, sf_dir), path)
+    found = wide.read_containers(spark, path).saved()
+    # a container holds no ids: a part's relation is told from others by its rows alone
+    kept = found.keep_bits(spark.createDataFrame([(b,) for b in _WIDE_KEPT], "bit long"))
+    return wide.texts(kept).groupBy("row").agg(F.count(F.lit(1)).alias("relations"))
+
+
+def wide_projection_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each relation's projection, of which the rows with bit 99 are kept out, held against its source."""
+    source = fixture.wide_family(spark, sf_dir).saved()
+    kept = source.keep_bits(spark.createDataFrame([(b,) for b in _WIDE_KEPT], "bit long")).saved()
+    last = wide.bit_of(F.col("words"), F.lit(len(set(_WIDE_KEPT)) - 1))
+    some = wide.WideSystem(kept.relations, kept.rows.where(last == 0))
+    return wide.verify_projections(source, some).select("table_id", "exact_rows", "projected_rows", "missing", "extra", "matches", "tautology")
+
+
+QUERIES |= {f.__name__: f for f in (wide_container_projection, wide_projection_gaps)}
+SQL["wide_container_projection"] = f'select "row", count(*) as relations from (select distinct l_partkey, {_wide_text(_WIDE_KEPT)} as "row" from lineitem) group by 1'
+SQL["wide_projection_gaps"] = (
+    f'select l_partkey as table_id, count(*) as exact_rows, count(*) filter (where not last) as projected_rows, count(*) filter (where last) as missing, 0::bigint as extra, not bool_or(last) as matches, false as tautology '
+    f'from (select distinct l_partkey, {_wide_text(_WIDE_KEPT)} as "row", {fixture.WIDE[99]} as last from lineitem) group by 1'
+)
+
+
 # Iterative operators: no SQL; tests compare them with brute force.
 @query()
 def reduction_pipeline(s: System) -> DataFrame:

@@ -316,7 +316,8 @@ class _ContainerWriter(DataSourceArrowWriter):
                     writer.origin_array(name.as_py(), bits)
                 else:
                     high, kind = value("rows_hi"), value("kind")
-                    writer.words(bits, value("rows").values.to_numpy(zero_copy_only=False), high and high.values.to_numpy(zero_copy_only=False), kind and kind.as_py())
+                    array = lambda x: None if x is None else x.values.to_numpy(zero_copy_only=False)
+                    writer.words(bits, array(value("rows")), array(high), None if kind is None else kind.as_py())
         if writer is None:
             return _Written(None, final)
         writer.finish()
