@@ -11,15 +11,18 @@ from maskspark.storage import cut
 from maskspark.system import System
 
 
-def shared_pairs(system: System, least: int = 1) -> DataFrame:
+def shared_pairs(system: System, least: int = 1, right: int | None = None) -> DataFrame:
     """l_table_id < r_table_id with at least `least` shared bits: also l_bits, r_bits, shared, union
-    (sorted). Pairs that need two bits meet on pairs of bits, so a bit of many relations makes no pair by itself."""
+    (sorted). Pairs that need two bits meet on pairs of bits, so a bit of many relations makes no pair by itself.
+    right: only pairs of that relation with those of smaller ids."""
     key = system.schema.select("table_id", "bit")
     if least > 1:
         other = key.withColumnRenamed("bit", "high")
         key = key.join(other, "table_id").where("bit < high").select("table_id", "bit", "high")
     on = [c for c in key.columns if c != "table_id"]
     a, b = (key.select(F.col("table_id").alias(f"{s}_table_id"), *on) for s in "lr")
+    if right is not None:
+        b = b.where(F.col("r_table_id") == right)
     met = a.join(b, on).where("l_table_id < r_table_id")
     bits = F.collect_set("bit") if least == 1 else F.array_union(F.collect_set("bit"), F.collect_set("high"))
     ids = met.groupBy("l_table_id", "r_table_id").agg(F.array_sort(bits).alias("shared")).where(F.size("shared") >= least)
@@ -41,9 +44,9 @@ def join_pairs(pairs: DataFrame, system: System) -> DataFrame:
     return l.join(r, ["l_table_id", "r_table_id", "key"]).select("l_table_id", "r_table_id", F.col("l_mask").bitwiseOR(F.col("r_mask")).alias("row"))
 
 
-def shared_row_counts(system: System, least: int = 1) -> DataFrame:
-    """l_table_id, r_table_id, join_rows: exact join sizes from counts by shared assignment, without joining rows."""
-    pairs = shared_pairs(system, least)
+def shared_row_counts(system: System, least: int = 1, pairs: DataFrame | None = None) -> DataFrame:
+    """l_table_id, r_table_id, join_rows: exact join sizes from counts by shared assignment, without joining rows; of the given pairs, else of all."""
+    pairs = shared_pairs(system, least) if pairs is None else pairs
     counted = [_keyed(pairs, system, s).groupBy("l_table_id", "r_table_id", "key").agg(F.count(F.lit(1)).alias(f"n_{s}")) for s in "lr"]
     sums = counted[0].join(counted[1], ["l_table_id", "r_table_id", "key"]).groupBy("l_table_id", "r_table_id").agg(F.sum(F.col("n_l") * F.col("n_r")).alias("join_rows"))
     return pairs.select("l_table_id", "r_table_id").join(sums, ["l_table_id", "r_table_id"], "left").na.fill(0, ["join_rows"])

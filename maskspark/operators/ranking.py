@@ -2,13 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from maskspark.functions.mask import rank
-from maskspark.operators.joins import shared_pairs, shared_row_counts
+from maskspark.operators.joins import join_pairs, shared_pairs, shared_row_counts
+from maskspark.operators.limits import check_arity
 from maskspark.operators.metrics import incident_union_arity, related_bits
-from maskspark.system import System
+from maskspark.storage import cut
+from maskspark.system import RELATIONS, System
+
+
+#: The order in which candidates are taken.
+BEST_FIRST = ("rank", "join_rows", "union_arity", "l_table_id", "r_table_id")
+
+
+class CandidateQueue:
+    """The overlapping pairs of a changing system, each counted once. A merge takes its two relations'
+    pairs out and adds those of the new relation; no other pair is looked at again. Relations and
+    pairs are kept as parts: the first system's, and what each merge added, with the ids that are
+    gone. After COMPACT merges the parts are written as one."""
+
+    COMPACT = 32
+
+    def __init__(self, system: System):
+        system = system.canonical().indexed().saved()
+        self.gone: list[int] = []
+        self.relations, self.rows, self.pairs = [system.relations], [system.rows], []
+        self.next_id = system.relations.count()
+        self.left = self.next_id
+        self.pairs.append(cut(self._counted(system, shared_pairs(system)), "candidates"))
+
+    @staticmethod
+    def _counted(system: System, pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "pairs")
+        counted = pairs.join(shared_row_counts(system, pairs=pairs), ["l_table_id", "r_table_id"]).withColumn("union_arity", F.size("union"))
+        return counted.withColumn("rank", rank(F.col("join_rows"), F.col("union_arity")))
+
+    def _alive(self, parts: list[DataFrame], *ids: str) -> DataFrame:
+        df = reduce(DataFrame.unionByName, parts)
+        for c in ids if self.gone else ():
+            df = df.where(~F.col(c).isin(self.gone))
+        return df
+
+    @property
+    def system(self) -> System:
+        return System(self._alive(self.relations, "table_id"), self._alive(self.rows, "table_id"))
+
+    def candidates(self) -> DataFrame:
+        return self._alive(self.pairs, "l_table_id", "r_table_id")
+
+    def pop(self, where: Column | None = None) -> Row | None:
+        """The best candidate (of those that satisfy a condition)."""
+        held = self.candidates() if where is None else self.candidates().where(where)
+        return held.orderBy(*BEST_FIRST).limit(1).first()
+
+    def merge(self, pair: Row) -> tuple[int, int]:
+        """Replaces a candidate's relations by their join; the new id and its rows."""
+        check_arity(pair.union_arity)
+        spark, new = self.relations[0].sparkSession, self.next_id
+        one = spark.createDataFrame([pair], self.pairs[0].schema)
+        joined = join_pairs(one, self.system).select(F.lit(new).cast("long").alias("table_id"), "row").distinct()
+        self.rows.append(cut(joined, "merged"))
+        self.relations.append(spark.createDataFrame([(new, list(pair.union))], RELATIONS))
+        self.gone += [pair.l_table_id, pair.r_table_id]
+        self.next_id, self.left = new + 1, self.left - 1
+        system = self.system
+        self.pairs.append(cut(self._counted(system, shared_pairs(system, right=new)), "candidates"))
+        if len(self.pairs) > self.COMPACT:
+            self.relations, self.rows, self.pairs = [cut(system.relations)], [cut(system.rows)], [cut(self.candidates(), "candidates")]
+            self.gone = []
+        return new, pair.join_rows  # a join has just as many rows as were counted
 
 
 def merge_candidates(system: System, least: int = 1) -> DataFrame:
@@ -19,7 +85,7 @@ def merge_candidates(system: System, least: int = 1) -> DataFrame:
 
 def best_pair(system: System, top: int = 1) -> DataFrame:
     """The pairs of least rank, then rows, union arity and ids."""
-    return merge_candidates(system).orderBy("rank", "join_rows", "union_arity", "l_table_id", "r_table_id").limit(top)
+    return merge_candidates(system).orderBy(*BEST_FIRST).limit(top)
 
 
 def min_related_bit(system: System) -> int | None:

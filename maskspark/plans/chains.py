@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from maskspark.functions.mask import project_each
 from maskspark.operators import joins
 from maskspark.operators import reductions as r
 from maskspark.operators.decomposition import progressive_roundtrip, selective_roundtrip
-from maskspark.operators.ranking import best_pair, best_partner, merge_candidates, min_related_bit, next_central_bit
+from maskspark.operators.ranking import CandidateQueue, best_partner, min_related_bit, next_central_bit
 from maskspark.storage import cut
 from maskspark.system import System
 
@@ -83,28 +84,20 @@ def merge_min_related(system: System) -> System:
     return _with(system.except_(_incident(system, bit)), joined).canonical().saved()
 
 
-def _merge_pair(system: System, left: int, right: int) -> System:
-    one = joins.join_two(system.only(_ids(system, left)), system.only(_ids(system, right)))
-    return _with(system.except_(_ids(system, left, right)), one).canonical().saved()
-
-
 def _ids(system: System, *ids: int):
     return system.relations.sparkSession.createDataFrame([(i,) for i in ids], "table_id long")
 
 
-def greedy_rank_chain(system: System, target: int = 16, most: int | None = None) -> tuple[System, list[tuple[int, int, int]]]:
-    """The pair of least rank is merged, again and again, until a merge has exactly `target` bits; also (arity, rows, relations left) of each step."""
-    system, log = system.canonical().saved(), []
-    while most is None or len(log) < most:
-        best = best_pair(system).collect()
-        if not best:
-            break
-        b = best[0]
-        system = _merge_pair(system, b.l_table_id, b.r_table_id)
-        log.append((b.union_arity, b.join_rows, system.relations.count()))
-        if b.union_arity == target:
+def greedy_rank_chain(system: System, target: int = 16, most: int | None = None) -> tuple[System, list[Row]]:
+    """The pair of least rank is merged, again and again, until a merge has exactly `target` bits or no
+    pair overlaps; also each step's pair, new relation and what is left. Relations are numbered in canonical order, new ones after them."""
+    queue, log = CandidateQueue(system), []
+    while (most is None or len(log) < most) and (best := queue.pop()):
+        new, rows = queue.merge(best)
+        log.append(Row(step=len(log) + 1, left=best.l_table_id, right=best.r_table_id, new=new, shared_bits=len(best.shared), union_arity=best.union_arity, row_count=rows, relations=queue.left))
+        if best.union_arity == target:
             break
-    return system, log
+    return queue.system.saved(), log
 
 
 def greedy_rank_cycles(system: System, target: int = 16, most: int = 100) -> tuple[System, int]:
@@ -112,11 +105,10 @@ def greedy_rank_cycles(system: System, target: int = 16, most: int = 100) -> tup
     system = system.canonical().saved()
     for done in range(most):
         before = system.fingerprint()
-        while True:
-            best = merge_candidates(system).where((F.col("join_rows") > 0) & (F.col("union_arity") <= target)).orderBy("rank", "join_rows", "union_arity", "l_table_id", "r_table_id").limit(1).collect()
-            if not best:
-                break
-            system = _merge_pair(system, best[0].l_table_id, best[0].r_table_id)
+        queue = CandidateQueue(system)
+        while best := queue.pop((F.col("join_rows") > 0) & (F.col("union_arity") <= target)):
+            queue.merge(best)
+        system = queue.system.canonical().saved()
         while True:
             start = system.counts()
             system = r.subset_absorption(system)[0]

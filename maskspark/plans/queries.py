@@ -590,8 +590,8 @@ def min_related_merge(s: System) -> DataFrame:
 
 @query()
 def rank_chain_steps(s: System) -> DataFrame:
-    _, log = chains.greedy_rank_chain(s, target=16, most=4)
-    return s.relations.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(log)], "step int, arity long, row_count long, relations long")
+    _, log = chains.greedy_rank_chain(s, target=16)
+    return s.relations.sparkSession.createDataFrame(log, "step int, left long, right long, new long, shared_bits int, union_arity int, row_count long, relations long")
 
 
 @query()
