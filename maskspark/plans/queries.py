@@ -521,11 +521,44 @@ def origin_assignment(s: System) -> DataFrame:
     return spark.createDataFrame([(out is not None, len(out.forced) if out else 0)], "satisfiable boolean, forced long")
 
 
-@query()
+#: Rounds that the unrolled SQL of a closure takes; a later one changes nothing on the fixture.
+_ROUNDS = 9
+
+
+def _closure_sql(full: bool) -> str:
+    """Rounds of rules one after the other: a bit's witness is the first rule all of whose bits are known."""
+    only = " and n = 1 << size" if full else ""
+    rules = (
+        _FD + ", hc as (select m.table_id, s.pos, s.bit as target, m.mask, m.size, count(distinct \"row\" & m.mask) as n, count(distinct (\"row\" & m.mask) | (\"row\" & (1 << s.pos))) as whole from ms m join s on s.table_id = m.table_id and (m.mask >> s.pos) & 1 = 0 "
+        f"join r on r.table_id = m.table_id group by all), hd as (select *, n = 1 << size as full_domain from hc where n = whole{only}), "
+        "lb as (select m.table_id, m.mask, list(s.bit order by s.pos) as bits from ms m join s on s.table_id = m.table_id and (m.mask >> s.pos) & 1 = 1 group by all), "
+        "rl as (select h.target, lb.bits, h.size, h.full_domain, h.table_id, t.arity, t.row_count from hd h join lb using (table_id, mask) join t using (table_id) "
+        "where not exists (select 1 from hd b where b.table_id = h.table_id and b.pos = h.pos and b.mask <> h.mask and (b.mask & h.mask) = b.mask)), "
+        "k0(bit, generation, bits, full_domain, table_id) as (select b, 0, null::bigint[], null::boolean, null::bigint from (values " + ", ".join(f"({b}::bigint)" for b in fixture.ORIGINS) + ") v(b))"
+    )
+    for g in range(1, _ROUNDS):
+        rules += (
+            f", k{g} as (select * from k{g - 1} union all select target, {g}, bits, full_domain, table_id from (select * from rl where target not in (select bit from k{g - 1}) "
+            f"and list_has_all((select list(bit) from k{g - 1}), bits) qualify row_number() over (partition by target order by size, full_domain desc, arity, row_count, table_id, bits) = 1))"
+        )
+    last = f"k{_ROUNDS - 1}"
+    return rules + f" select bit, generation, array_to_string(bits, ',') as bits, full_domain, table_id from {last} union all select distinct bit, null, null, null, null from s where bit not in (select bit from {last})"
+
+
+def _closure(s: System, full: bool) -> DataFrame:
+    found, missing = dependencies.closure(s, fixture.ORIGINS, full=full)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("generation", "int"), ("bits", "string"), ("full_domain", "boolean"), ("table_id", "long"))]
+    return found.select("bit", "generation", names("bits").alias("bits"), "full_domain", "table_id").union(missing.select("bit", *none))
+
+
+@query(_closure_sql(False), perturbed=True)
 def generation_chain(s: System) -> DataFrame:
-    rounds, unreachable, _ = dependencies.generations(s, fixture.ORIGINS)
-    found = [(b, g) for g, bits in enumerate(rounds) for b in bits] + [(b, None) for b in unreachable]
-    return s.relations.sparkSession.createDataFrame(found, "bit long, generation int")
+    return _closure(s, full=False)
+
+
+@query(_closure_sql(True), perturbed=True)
+def full_domain_chain(s: System) -> DataFrame:
+    return _closure(s, full=True)
 
 
 @query()
