@@ -113,7 +113,7 @@ def greedy_rank_cycles(system: System, target: int = 16, most: int = 100) -> tup
             start = system.counts()
             system = r.subset_absorption(system)[0]
             system = r.force_step(system)[0]
-            while (step := r.pair_step(system))[1]:
+            while (step := r.rewrite_step(system))[3]["replaced_bits"]:
                 system = step[0]
             system = r.node_filter(system)[0].saved()
             if system.counts() == start:

@@ -2,42 +2,53 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskspark.operators import equivalence
 from maskspark.operators import reductions as r
+from maskspark.storage import cut
 from maskspark.system import ContradictionError, System
 
 
+HISTORY = "round int, iteration int, left long, right long, inverted boolean, support long, arities array<int>"
+
+
 @dataclass
 class Reduced:
     system: System
     nodes: System | None
-    #: bit -> (representative, inverted), for every bit seen.
-    mapping: dict[int, tuple[int, bool]]
-    #: Values of original bits.
-    forced: dict[int, int]
+    #: bit, representative, inverted of every original bit.
+    mapping_frame: DataFrame
+    #: bit, value of forced original bits.
+    forced_frame: DataFrame
+    #: The pair relations found in each round and iteration of the pair step.
+    history: DataFrame
     rounds: list[dict[str, dict[str, int]]] = field(default_factory=list)
 
-    def mapping_frame(self) -> DataFrame:
-        spark = self.system.relations.sparkSession
-        return spark.createDataFrame([(b, rep, inv) for b, (rep, inv) in sorted(self.mapping.items())], "bit long, representative long, inverted boolean")
+    @cached_property
+    def mapping(self) -> dict[int, tuple[int, bool]]:
+        """bit -> (representative, inverted); for reports and small systems."""
+        return {x.bit: (x.representative, x.inverted) for x in self.mapping_frame.collect()}
 
-    def forced_frame(self) -> DataFrame:
-        return self.system.relations.sparkSession.createDataFrame(sorted(self.forced.items()), "bit long, value int")
+    @cached_property
+    def forced(self) -> dict[int, int]:
+        return {x.bit: int(x.value) for x in self.forced_frame.collect()}
 
     def components(self) -> list[tuple[int, list[tuple[int, bool]]]]:
         """Classes of equal or opposite bits, the largest first: representative and members."""
         groups: dict[int, list[tuple[int, bool]]] = {}
-        for b, (rep, inv) in sorted(self.mapping.items()):
-            groups.setdefault(rep, []).append((b, inv))
-        return sorted(((rep, m) for rep, m in groups.items() if len(m) > 1), key=lambda g: (-len(g[1]), g[0]))
+        for x in equivalence.classes(self.mapping_frame, self.forced_frame).orderBy("bit").collect():
+            groups.setdefault(x.representative, []).append((x.bit, x.inverted))
+        return sorted(groups.items(), key=lambda g: (-len(g[1]), g[0]))
 
     def report(self) -> dict:
         relations, rows, bits = self.system.counts()
-        return {"rounds": self.rounds, "relations": relations, "rows": rows, "bits": bits, "forced_bits": len(self.forced), "components": len(self.components())}
+        return {"rounds": self.rounds, "relations": relations, "rows": rows, "bits": bits, "forced_bits": self.forced_frame.count(), "components": len(self.components())}
 
 
 def reduce_system(system: System, protected: set[int] = frozenset(), zero_collapse: bool = True, max_rounds: int | None = None) -> Reduced:
@@ -47,27 +58,25 @@ def reduce_system(system: System, protected: set[int] = frozenset(), zero_collap
     spark = system.relations.sparkSession
     system = system.canonical().saved().must_hold("input")
     guard = spark.createDataFrame([(b,) for b in sorted(protected)], "bit long")
-    mapping = {x.bit: (x.bit, False) for x in system.schema.select("bit").distinct().toLocalIterator()}
-    out = Reduced(system, None, mapping, {})
+    mapping = cut(system.schema.select("bit").distinct().select("bit", F.col("bit").alias("representative"), F.lit(False).alias("inverted")), "mapping")
+    out = Reduced(system, None, mapping, spark.createDataFrame([], "bit long, value int"), spark.createDataFrame([], HISTORY))
     while True:
         log: dict[str, dict[str, int]] = {}
         system, log["absorption"] = r.subset_absorption(system)
         system, found, log["forced"] = r.force_step(system)
         system.must_hold("forced bits")
-        values = {x.bit: int(x.value) for x in found.collect()}
-        if values:  # one pass over the mapping, however many bits are forced
-            out.forced |= {bit: values[rep] ^ int(inv) for bit, (rep, inv) in mapping.items() if rep in values}
+        if log["forced"]["forced_bits"]:
+            out.forced_frame = cut(out.forced_frame.unionByName(r.original_forced(mapping, found)), "forced")
         system, log["single"] = r.single_table_bits(system, guard)
         log["pairs"] = {"relations": 0, "replaced_bits": 0}
-        while True:
-            system, moves, stats = r.pair_step(system, protected)
+        for iteration in itertools.count(1):
+            system, moves, told, stats = r.rewrite_step(system, protected)
             log["pairs"] = {k: log["pairs"][k] + stats[k] for k in stats}
-            if not moves:
+            if stats["relations"]:
+                out.history = out.history.unionByName(told.select(F.lit(len(out.rounds) + 1).alias("round"), F.lit(iteration).alias("iteration"), "left", "right", "inverted", "support", "arities"))
+            if not stats["replaced_bits"]:
                 break
-            moved = {b: (rep, inv) for b, rep, inv in moves}
-            for bit, (rep, inv) in mapping.items():
-                if rep in moved:
-                    mapping[bit] = (moved[rep][0], inv ^ moved[rep][1])
+            mapping = out.mapping_frame = cut(equivalence.compose(mapping, moves), "mapping")
         if zero_collapse:
             system, log["zero_collapse"] = r.zero_collapse_bits(system, guard)
         system, log["tautologies"] = r.tautology_filter(system)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskspark.functions.mask import project, project_to
-from maskspark.operators import bundles, decomposition, dependencies, graph, joins, local_consistency, metrics, ranking, reductions
+from maskspark.operators import bundles, decomposition, dependencies, equivalence, graph, joins, local_consistency, metrics, ranking, reductions
 from maskspark import wide
 from maskspark.plans import chains, fixture
 from maskspark.plans.pipeline import reduce_system, with_assignment
@@ -268,9 +268,22 @@ def zero_collapse_bits(s: System) -> DataFrame:
     return shown(System(out.relations.where(F.size("bits") > 0), out.rows))
 
 
-@query(' select bit as "left", other as "right", st in (2, 4, 6) as inverted, count(*) as support from (select a.table_id, a.bit, b.bit as other, bit_or(1::bigint << ((("row" >> a.pos) & 1) * 2 + (("row" >> b.pos) & 1))) as st from s a join s b on a.table_id = b.table_id and a.bit < b.bit join r on r.table_id = a.table_id group by all) x where st in (1, 8, 9, 2, 4, 6) group by all')
+_PAIR_RELATIONS = ' select bit as "left", other as "right", st in (2, 4, 6) as inverted, count(*) as support from (select a.table_id, a.bit, b.bit as other, bit_or(1::bigint << ((("row" >> a.pos) & 1) * 2 + (("row" >> b.pos) & 1))) as st from s a join s b on a.table_id = b.table_id and a.bit < b.bit join r on r.table_id = a.table_id group by all) x where st in (1, 8, 9, 2, 4, 6) group by all'
+
+
+@query(_PAIR_RELATIONS)
 def pair_relations(s: System) -> DataFrame:
-    return reductions.pair_relations(s)
+    return reductions.pair_relations(s).select("left", "right", "inverted", "support")
+
+
+@query(
+    f', pl as ({_PAIR_RELATIONS}), dn as (select 2 * "left" + p as u, 2 * "right" + (p + inverted::int) % 2 as v from pl, (values (0), (1)) x(p)), de as (select u, v from dn union all select v, u from dn), '
+    "rc as (with recursive rc(u, v) as (select distinct u, u from de union select rc.u, de.v from rc join de on de.u = rc.v) select * from rc) "
+    "select (u // 2)::bigint as bit, (min(v) // 2)::bigint as representative, min(v) % 2 = 1 as inverted from rc where u % 2 = 0 group by u"
+)
+def bit_classes(s: System) -> DataFrame:
+    """The least bit of each class of equal or opposite bits, found by contraction."""
+    return equivalence.parity_components(reductions.pair_relations(s))
 
 
 _SUBSETS = ', cs as (select a.table_id as sub, b.table_id as sup from s a join s b on a.bit = b.bit and a.table_id <> b.table_id join t x on x.table_id = a.table_id join t y on y.table_id = b.table_id where x.arity < y.arity group by a.table_id, b.table_id, x.arity having count(*) = x.arity), pk as (select cs.sub, cs.sup, r."row", sum(((r."row" >> q.pos) & 1) << p.pos)::bigint as key from cs join s p on p.table_id = cs.sub join s q on q.table_id = cs.sup and q.bit = p.bit join r on r.table_id = cs.sup group by all), bad as (select distinct sup as table_id, pk."row" from pk left join r z on z.table_id = pk.sub and z."row" = pk.key where z."row" is null)'
