@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskspark.functions.mask import project, project_to
-from maskspark.operators import bundles, decomposition, dependencies, equivalence, graph, joins, local_consistency, metrics, ranking, reductions
+from maskspark.operators import bundles, cliques, decomposition, dependencies, equivalence, graph, joins, local_consistency, metrics, ranking, reductions
 from maskspark import wide
 from maskspark.plans import chains, fixture
 from maskspark.plans.pipeline import reduce_system, with_assignment
@@ -624,6 +624,29 @@ def bit_elimination(s: System) -> DataFrame:
     return shown(chains.eliminate_bit(s, 3))
 
 
+def _clusters() -> dict[int, list[int]]:
+    return {b: [i for i, own in enumerate(fixture.RELATIONS) if b in own] for b in sorted({b for own in fixture.RELATIONS for b in own})}
+
+
+@query(
+    ", cj as (" + " union all ".join(f'select distinct {b}::bigint as bit, {i}::bigint as table_id, x{i}."row" {_from(ids, fixture.RELATIONS)}' for b, ids in _clusters().items() for i in ids) + ")" + _NAMED
+    + ' select bit, bits, "row" from cj join nb using (table_id)',
+    perturbed=True,
+)
+def cluster_cliques(s: System) -> DataFrame:
+    """For every bit, the rows of its relations that are in a full clique of compatible rows; the SQL joins the relations instead."""
+    s = s.canonical().saved()
+    return cliques.clique_filter(s)[0].join(s.relations, "table_id").select("bit", names("bits").alias("bits"), "row")
+
+
+@query(
+    ", cc as (" + " union all ".join(f"select {b}::bigint as bit, count(*) as cliques {_from(ids, fixture.RELATIONS)}" for b, ids in _clusters().items()) + ") select bit, cliques from cc where cliques > 0",
+    perturbed=True,
+)
+def clique_counts(s: System) -> DataFrame:
+    return cliques.clique_filter(s)[1]
+
+
 @query(_cluster_sql(3), perturbed=True)
 def cluster_elimination(s: System) -> DataFrame:
     return shown(chains.eliminate_bit_by_cluster(s, 3))
