@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from maskspark.functions.kernel import latent_split
 from maskspark.functions.mask import bit_at, is_full, positions_of, project, project_each, put, scatter
 from maskspark.operators.joins import join_all, join_pairs
-from maskspark.storage import cut
+from maskspark.storage import cut, numbered
 from maskspark.system import System
 
 _PAIRS = "table_id long, row_count long, left long, right long, left_rows long, right_rows long"
-_SPLITS = "table_id long, kind string, left_bits array<long>, right_bits array<long>, latent_bits int, max_arity int"
 
 
 def _mask_pairs(spark: SparkSession, arity: int, largest: int) -> DataFrame:
@@ -122,10 +121,13 @@ def lost_or_added(system: System, factors: System) -> DataFrame:
     return joined.subtract(rows).unionByName(rows.subtract(joined))
 
 
-def splits(system: System, least: int = 3, most: int = 15, canonical: bool = True) -> DataFrame:
-    """The split of each relation of least..most bits: a lossless projection, else one by latent bits,
-    else `none`. Projections are found for all relations at once; of the rest, each is one row of its task."""
-    system = (system.canonical() if canonical else system).saved()
+_LATENT = "table_id long, left_bits array<long>, right_bits array<long>, latent_bits int, left_rows array<long>, right_rows array<long>"
+
+
+def latent_splits(system: System, least: int = 4, most: int = 15) -> DataFrame:
+    """table_id, left_bits, right_bits, latent_bits, left_rows, right_rows of each relation that two sides
+    joined by few new bits express in less arity: rows of a side are its own bits and, above them, the
+    number of a biclique of values that go together. The search is within one small relation; each is one row of its task."""
 
     def run(batches):
         for pdf in batches:
@@ -133,19 +135,56 @@ def splits(system: System, least: int = 3, most: int = 15, canonical: bool = Tru
             for r in pdf.itertuples():
                 bits, rows = list(map(int, r.bits)), np.asarray(r.rows, np.int64)
                 if hidden := latent_split(bits, rows):
-                    width = max(0, (len(hidden[2]) - 1).bit_length())
-                    out.append((r.table_id, "latent", hidden[0], hidden[1], width, max(len(hidden[0]), len(hidden[1])) + width))
-                else:
-                    out.append((r.table_id, "none", [], [], 0, len(bits)))
-            yield pd.DataFrame(out, columns=["table_id", "kind", "left_bits", "right_bits", "latent_bits", "max_arity"])
+                    left, right, cover = hidden
+                    width = max(0, (len(cover) - 1).bit_length())
+                    sides = [sorted({pair[k] | state << len(own) for state, pairs in enumerate(cover) for pair in pairs}) for k, own in enumerate((left, right))]
+                    out.append((r.table_id, left, right, width, *sides))
+            yield pd.DataFrame(out, columns=["table_id", "left_bits", "right_bits", "latent_bits", "left_rows", "right_rows"])
+
+    packed = system.packed().where(F.size("bits").between(least, most) & (F.size("rows") > 0))
+    return packed.select("table_id", "bits", "rows").mapInPandas(run, _LATENT)
+
 
+def latent_factors(system: System, found: DataFrame) -> System:
+    """Both factors of each latent split: of relation t, 2t is the left one and 2t + 1 the right one. The
+    new bits follow the system's largest; each split has its own."""
+    top = system.schema.agg(F.coalesce(F.max("bit"), F.lit(-1))).first()[0] + 1
+    starts = numbered(found.select("table_id", F.explode(F.sequence(F.lit(1), F.greatest("latent_bits", F.lit(1)))).alias("k")), "table_id", "k")
+    first = starts.groupBy("table_id").agg((F.min("number") + top).alias("start"))
+    new = F.when(F.col("latent_bits") > 0, F.transform(F.sequence(F.lit(0), F.col("latent_bits") - 1), lambda i: F.col("start") + i)).otherwise(F.array().cast("array<long>"))
+    sides = F.explode(F.array(*(F.struct((F.col("table_id") * 2 + i).alias("table_id"), F.concat(f"{c}_bits", new).alias("bits"), F.col(f"{c}_rows").alias("rows")) for i, c in enumerate(("left", "right")))))
+    parts = cut(found.join(first, "table_id").select(sides.alias("x")).select("x.*"), "latent")
+    return System.unpacked(parts)
+
+
+def splits(system: System, least: int = 3, most: int = 15, canonical: bool = True) -> DataFrame:
+    """The split of each relation of least..most bits: a lossless projection, else one by latent bits,
+    else `none`. Projections are found for all relations at once; of the rest, each is one row of its task."""
+    system = (system.canonical() if canonical else system).saved()
     found = cut(projection_splits(system, least, most), "splits")
     known = found.join(system.relations, "table_id").select(
         "table_id", F.lit("projection").alias("kind"), named_by(F.col("left"), "bits").alias("left_bits"), named_by(F.col("right"), "bits").alias("right_bits"),
         F.lit(0).alias("latent_bits"), F.greatest(F.bit_count("left"), F.bit_count("right")).alias("max_arity"),
     )
-    rest = system.packed().join(found, "table_id", "left_anti").where(F.size("bits").between(least, most) & (F.size("rows") > 0))
-    return known.unionByName(rest.select("table_id", "bits", "rows").mapInPandas(run, _SPLITS))
+    hidden = cut(latent_splits(system.except_(found), least, most), "latent")
+    by_latent = hidden.select("table_id", F.lit("latent").alias("kind"), "left_bits", "right_bits", "latent_bits", (F.greatest(F.size("left_bits"), F.size("right_bits")) + F.col("latent_bits")).alias("max_arity"))
+    none = F.array().cast("array<long>")
+    tried = system.sized.where(F.col("arity").between(least, most) & (F.col("row_count") > 0))
+    rest = tried.join(found, "table_id", "left_anti").join(hidden, "table_id", "left_anti").select("table_id", F.lit("none").alias("kind"), none.alias("left_bits"), none.alias("right_bits"), F.lit(0).alias("latent_bits"), F.col("arity").alias("max_arity"))
+    return known.unionByName(by_latent).unionByName(rest)
+
+
+def split_coverage(system: System, least: int = 3, most: int = 15) -> DataFrame:
+    """kind, arity, relations, rows_before, rows_after: how many relations split in which way, and the
+    rows that their factors need; `skipped` are relations outside least..most bits or without rows."""
+    system = system.canonical().saved()
+    found = cut(projection_splits(system, least, most), "splits")
+    hidden = cut(latent_splits(system.except_(found), least, most), "latent")
+    after = found.select("table_id", F.lit("projection").alias("kind"), (F.col("left_rows") + F.col("right_rows")).alias("rows_after"))
+    after = after.unionByName(hidden.select("table_id", F.lit("latent").alias("kind"), (F.size("left_rows") + F.size("right_rows")).cast("long").alias("rows_after")))
+    tried = F.col("arity").between(least, most) & (F.col("row_count") > 0)
+    each = system.sized.join(after, "table_id", "left").select(F.coalesce("kind", F.when(tried, "none").otherwise("skipped")).alias("kind"), "arity", "row_count", F.coalesce("rows_after", "row_count").alias("rows_after"))
+    return each.groupBy("kind", "arity").agg(F.count(F.lit(1)).alias("relations"), F.sum("row_count").alias("rows_before"), F.sum("rows_after").alias("rows_after"))
 
 
 def subtables(system: System, k: int) -> System:

@@ -574,6 +574,32 @@ def full_domain_chain(s: System) -> DataFrame:
     return _closure(s, full=True)
 
 
+_SPLIT_SQL = (
+    ", mask as (select cast(unnest(range(1, 32)) as bigint) as m), pair as (select k as arity, a.m as l, b.m as r from mask a, mask b, (select distinct arity as k from t where arity >= 3) where a.m < b.m and b.m < (1 << k) - 1 and (a.m | b.m) = (1 << k) - 1), "
+    'met as (select r.table_id, pair.l, pair.r, count(distinct "row" & pair.l) as nl, count(distinct "row" & pair.r) as nr from r join t using (table_id) join pair using (arity) group by r.table_id, pair.l, pair.r, "row" & pair.l & pair.r), '
+    "exact as (select table_id, l, r, sum(nl) as nl, sum(nr) as nr from met join t using (table_id) group by table_id, l, r, row_count having sum(met.nl * met.nr) = row_count), "
+    "best as (select * from exact qualify row_number() over (partition by table_id order by greatest(bit_count(l), bit_count(r)), nl + nr, bit_count(l) + bit_count(r), -bit_count(l & r), l, r) = 1), "
+    "side as (select table_id, 'left' as factor, l as m from best union all select table_id, 'right', r from best) "
+)
+
+
+@query(
+    _SPLIT_SQL + "select distinct r.table_id, factor, (select string_agg(s.bit, ',' order by s.pos) from s where s.table_id = r.table_id and (m >> s.pos) & 1 = 1) as bits, "
+    + "cast(" + " + ".join(f'((m >> {i}) & 1) * (("row" >> {i}) & 1) * (1 << bit_count(m & {(1 << i) - 1}))' for i in range(5)) + ' as bigint) as "row" from side join r on r.table_id = side.table_id',
+    perturbed=True,
+)
+def projection_factors(s: System) -> DataFrame:
+    """The rows of both factors of every relation that splits without loss; the SQL tries all pairs of masks."""
+    factors = decomposition.projection_factors(s, decomposition.projection_splits(s)).saved()
+    side = F.when(F.col("table_id") % 2 == 0, "left").otherwise("right").alias("factor")
+    return factors.rows.join(factors.relations, "table_id").select(F.expr("table_id div 2").alias("table_id"), side, names("bits").alias("bits"), "row")
+
+
+@query()
+def split_coverage(s: System) -> DataFrame:
+    return decomposition.split_coverage(s)
+
+
 @query()
 def table_splits(s: System) -> DataFrame:
     return decomposition.splits(s)

@@ -65,3 +65,26 @@ def test_kinds(spark):
 def test_nothing_to_split(spark):
     assert projection_splits(System.of(spark, [([1, 2], [0, 3])])).collect() == []
     assert projection_splits(System.of(spark, [])).collect() == []
+
+
+def test_latent_factors_join_back(spark):
+    """Parity of four bits has no lossless projection; its latent factors share new bits and join back to it."""
+    from maskspark.operators.decomposition import latent_factors, latent_splits, split_coverage
+    from maskspark.operators.joins import join_all
+
+    parity = [r for r in range(16) if r.bit_count() % 2 == 0]
+    wide = [r for r in range(64) if (r & 7).bit_count() % 2 == (r >> 3).bit_count() % 2]
+    held = [([1, 2, 3, 4], parity), ([3, 4, 5, 6, 7, 8], wide), ([1, 2, 3], [1, 2, 4]), ([5, 6, 7], [0, 1, 6, 7])]
+    system = System.of(spark, held)
+    found = latent_splits(system).cache()
+    assert {r.table_id: r.latent_bits for r in found.collect()} == {0: 1, 1: 1}
+    factors = latent_factors(system, found).saved()
+    new = {b for r in factors.relations.collect() for b in r.bits if b > 8}
+    assert new == {9, 10}  # each split has a bit of its own
+    for t, (bits, rows) in enumerate(held[:2]):
+        both = factors.only(spark.createDataFrame([(2 * t,), (2 * t + 1,)], "table_id long"))
+        assert all(len(r.bits) < len(bits) for r in both.relations.collect())
+        joined = join_all(both).keep_bits(spark.createDataFrame([(b,) for b in bits], "bit long"))
+        assert joined.local() == [(bits, rows)]
+    got = {(r.kind, r.arity): (r.relations, r.rows_before, r.rows_after) for r in split_coverage(system).collect()}
+    assert got == {("latent", 4): (1, 8, 8), ("latent", 6): (1, 32, 16), ("none", 3): (1, 3, 3), ("projection", 3): (1, 4, 4)}
