@@ -40,6 +40,14 @@ def scatter(row: Column, targets: Column) -> Column:
     return F.aggregate(F.transform(targets, lambda t, i: put(bit_at(row, i), t)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
+def scatter_to(row: Column, targets: list[int]) -> Column:
+    """scatter() for targets known now."""
+    out = F.lit(0).cast("long")
+    for i, t in enumerate(targets):
+        out = out.bitwiseOR(F.shiftleft(F.shiftright(row, i).bitwiseAND(F.lit(1).cast("long")), t))
+    return out
+
+
 def without_bit(row: Column, position: Column) -> Column:
     """The mask with one position taken out; higher ones move down."""
     low = row.bitwiseAND(put(F.lit(1), position) - 1)

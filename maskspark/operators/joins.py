@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.functions.mask import contains_all, is_full, positions_of, project, scatter
+from maskspark.functions.mask import contains_all, is_full, positions_of, project, project_to, scatter, scatter_to
 from maskspark.operators import limits
-from maskspark.storage import cut
+from maskspark.storage import cut, scratch, stored
 from maskspark.system import System
 
 
@@ -66,20 +66,39 @@ def join_two(left: System, right: System) -> System:
 
 
 def join_all(system: System, order: DataFrame | None = None) -> System:
-    """The natural join of every table, smallest first; after an empty step the rest is not joined: no rows over all bits."""
-    ids = (order or system.sized.orderBy("row_count", "arity", "bits", "table_id")).select("table_id", "bits").collect()
-    if not ids:
+    """The natural join of every table, smallest first (or in the given order), but always one that
+    shares a bit with what is joined so far while there is one; after an empty step the rest is not
+    joined: no rows over all bits. Rows are dealt out by table once, so each step reads its own table only."""
+    rest = [(r.table_id, list(r.bits)) for r in (order or system.sized.orderBy("row_count", "arity", "bits", "table_id")).select("table_id", "bits").collect()]
+    if not rest:
         raise ValueError("no relations to join")
-    limits.check_arity(len({b for r in ids for b in r.bits}))
+    union = sorted({b for _, bits in rest for b in bits})
+    limits.check_arity(len(union))
     spark = system.relations.sparkSession
-    parts = [System(spark.createDataFrame([(0, list(r.bits))], "table_id long, bits array<long>"), system.rows.where(F.col("table_id") == r.table_id).select(F.lit(0).cast("long").alias("table_id"), "row")) for r in ids]
-    joined = parts[0].canonical()
-    for part in parts[1:]:
-        if joined.rows.isEmpty():
-            bits = sorted({b for r in ids for b in r.bits})
-            return System(spark.createDataFrame([(0, bits)], "table_id long, bits array<long>"), joined.rows.limit(0))
-        joined = join_two(joined, part).saved()
-    return joined
+    path = scratch(spark, "by-table")
+    system.rows.repartition("table_id").write.partitionBy("table_id").parquet(path)
+
+    def own(i: int, bits: list[int]) -> DataFrame:
+        """A table's rows over its ascending bits."""
+        return stored(spark, f"{path}/table_id={i}", "row long").select(project_to(F.col("row"), [bits.index(b) for b in sorted(bits)]).alias("row")).distinct()
+
+    first, bits = rest.pop(0)
+    rows, bits = own(first, bits), sorted(bits)
+    while rest:
+        if rows.isEmpty():
+            rows, bits = rows.limit(0), union
+            break
+        i, new = rest.pop(next((k for k, (_, x) in enumerate(rest) if set(x) & set(bits)), 0))
+        right, new = own(i, new), sorted(new)
+        shared, both = [b for b in new if b in set(bits)], sorted({*bits, *new})
+        key = lambda x: [x.index(b) for b in shared]
+        l = rows.select(project_to(F.col("row"), key(bits)).alias("key"), scatter_to(F.col("row"), [both.index(b) for b in bits]).alias("l"))
+        r = right.select(project_to(F.col("row"), key(new)).alias("key"), scatter_to(F.col("row"), [both.index(b) for b in new]).alias("r"))
+        # a table without bits of its own only filters
+        joined = l.join(r, "key", "left_semi").select(F.col("l").alias("row")) if both == bits else l.join(r, "key").select(F.col("l").bitwiseOR(F.col("r")).alias("row"))
+        rows, bits = cut(joined, "joined"), both
+    zero = F.lit(0).cast("long").alias("table_id")
+    return System(spark.createDataFrame([(0, bits)], "table_id long, bits array<long>"), rows.select(zero, "row"))
 
 
 def semijoin_into(system: System, pairs: DataFrame) -> DataFrame:

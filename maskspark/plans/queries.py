@@ -689,7 +689,16 @@ def rank_chain_steps(s: System) -> DataFrame:
     return s.relations.sparkSession.createDataFrame(log, "step int, left long, right long, new long, shared_bits int, union_arity int, row_count long, relations long")
 
 
-@query()
+@query(
+    ', src as (select "row" from r where table_id = 11), mk as (select cast(unnest(range(1, 32)) as bigint) as m), pj as (select distinct m, "row" & m as p from mk, src where bit_count(m) between 2 and 4), '
+    "ft as (select m, bit_count(m) as k from pj group by m having count(*) < (1 << bit_count(m))), "
+    "rk as (select n, coalesce(bit_or(m), 0) as cov, count(m) as factors from (values (2), (3), (4)) v(n) left join ft on k <= n group by n), "
+    "jn as (select n, count(*) as joined from rk, (select cast(unnest(range(0, 32)) as bigint) as x) where factors > 0 and (x & cov) = x "
+    "and not exists (select 1 from ft where k <= n and not exists (select 1 from pj where pj.m = ft.m and pj.p = (x & ft.m))) group by n), "
+    'sr as (select n, count(distinct "row" & cov) as own from rk, src group by n), '
+    "al as (select rk.n, factors, case when factors > 0 then coalesce(joined, 0) - own end as extra_rows, factors > 0 and cov = 31 and coalesce(joined, 0) = own as exact from rk left join jn using (n) join sr using (n)) "
+    "select n::int as largest, factors, extra_rows, exact from al where n <= coalesce((select min(n) from al where exact), 4)"
+)
 def subtable_roundtrip(s: System) -> DataFrame:
     log = decomposition.progressive_roundtrip(s.only(_one(s, 11)))
     return s.relations.sparkSession.createDataFrame([(len(x["sizes"]) + 1, x["factors"], x["extra_rows"], x["exact"]) for x in log], "largest int, factors long, extra_rows long, exact boolean")
