@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -241,19 +242,34 @@ def progressive_roundtrip(source: System, most: int = 4) -> list[dict[str, objec
 def selective_roundtrip(source: System, most: int = 4) -> System | None:
     """A small pool that joins back exactly: projections are added greedily, each the one that
     rejects most of the rows still too many (or brings most missing bits), smaller ones first."""
+    return selective_report(source, most)[0]
+
+
+@dataclass
+class Selection:
+    """How a pool was selected: informative projections by size, and each choice made."""
+
+    pool: dict[int, int]
+    #: bits, missing_bits and extra_rows before the choice, candidates that would help, and the gain of the one taken.
+    choices: list[dict[str, object]]
+
+
+def selective_report(source: System, most: int = 4) -> tuple[System | None, Selection]:
+    """selective_roundtrip() with its statistics."""
     source = source.canonical().saved()
     spark = source.relations.sparkSession
     bits = list(source.relations.first().bits)
     if source.sized.where(is_full(F.col("row_count"), F.col("arity"))).count():
-        return None
+        return None, Selection({}, [])
     pools = [non_tautologies(subtables(source, k)) for k in range(2, min(most, len(bits)) + 1)]
     pool = System(_union([p.relations for p in pools]), _union([p.rows for p in pools])).canonical().saved()
+    report = Selection({r.arity: r["count"] for r in pool.sized.groupBy("arity").count().orderBy("arity").collect()}, [])
     chosen: list[int] = []
     while True:
         held = reconstruct(pool.only(spark.createDataFrame([(c,) for c in chosen], "table_id long"))) if chosen else None
         gap = difference(source, held)
         if gap["exact"]:
-            return pool.only(spark.createDataFrame([(c,) for c in chosen], "table_id long"))
+            return pool.only(spark.createDataFrame([(c,) for c in chosen], "table_id long")), report
         missing = gap["missing_bits"]
         rest = pool.except_(spark.createDataFrame([(c,) for c in chosen], "table_id long"))
         if missing:
@@ -264,9 +280,11 @@ def selective_roundtrip(source: System, most: int = 4) -> System | None:
             targets = [(t.table_id, [place[b] for b in t.bits]) for t in rest.relations.collect()]  # projections of one table
             seen = extra.select(F.explode(project_each(F.col("row"), targets)).alias("x")).select("x.*")
             gain = seen.join(rest.rows, ["table_id", "row"], "left_anti").groupBy("table_id").agg(F.count(F.lit(1)).alias("gain"))
+        gain = cut(gain, "gain")
         best = gain.join(rest.sized, "table_id").orderBy(F.desc("gain"), "arity", "row_count", "bits").limit(1).collect()
         if not best:
-            return None
+            return None, report
+        report.choices.append({"bits": list(best[0].bits), "missing_bits": len(missing), "extra_rows": gap["extra_rows"], "candidates": gain.count(), "gain": best[0].gain})
         chosen.append(best[0].table_id)
 
 
