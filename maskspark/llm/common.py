@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -158,6 +159,14 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def trim() -> None:
+    """Gives memory that this Python process has freed back to the system, which counts it until then."""
+    pa.default_memory_pool().release_unused()
+    free = per_process("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))  # of glibc
+    if free:
+        free(0)
+
+
 def texts(piece: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a piece; null counts as empty."""
     return [x or "" for x in piece[column].to_pylist()]

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskspark.llm.common import map_pieces, materialize, per_worker
+from maskspark.llm.common import map_pieces, materialize, per_worker, trim
 from maskspark.llm.lexicon import Memory, numbered, put_together
 
 #: The share of a length that a round of multiplicative weights covers, and how far from the best a configuration may be.
@@ -41,7 +41,7 @@ KEPT_CONFIGURATIONS = 4
 #: Pieces of one length that are ranked in one bucket, about.
 BUCKET = 100_000
 #: Words in each of the two generations that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 #: The parts of a tokenizer file for which words can be encoded apart (fixed values).
 KNOWN = {
@@ -150,6 +150,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0)
                     made += 1
                     for k, v in zip(out, (doc, number, start, len(part), zlib.crc32(part.tobytes()), made & 0xFFFF), strict=True):
                         out[k].append(v)
+            trim()  # the tokenizer frees many small blocks
             return out
 
         return step
