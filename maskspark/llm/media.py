@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from maskspark.llm.common import map_pieces
 
@@ -98,12 +99,10 @@ def fingerprints(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def media_columns(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id and the digests of payload, stored form and fingerprint of every row; with whole,
-    also the stored form (media) and the fingerprint (times, codes)."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    if whole:
-        schema += ", media binary, times array<int>, codes array<int>"
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Of every row doc_id, n_bytes (of its text), the stored form (media), and, from the bytes read
+    back, the digests of the payload and the fingerprint (times, codes: arrays of equal length)."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, times array<int>, codes array<int>"
 
     def make():
         def step(piece: pa.RecordBatch) -> dict:
@@ -118,18 +117,20 @@ def media_columns(docs: DataFrame, whole: bool = False) -> DataFrame:
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-32:]))
-                out["media_bytes"].append(len(media))
-                out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                if whole:
-                    out["media"].append(media)
+                out["media"].append(media)
             for times, codes in fingerprints(read):
-                digest = hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()[:32]
-                out["feature"].append(f"pairs={len(times)};frames={len(np.unique(times))};sha256={digest}")
-                if whole:
-                    out["times"].append(times.tolist())
-                    out["codes"].append(codes.tolist())
+                out["times"].append(times.tolist())
+                out["codes"].append(codes.tolist())
             return out
 
         return step
 
     return map_pieces(docs.select("doc_id", "text"), "text", schema, make)
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """The rows of media_columns() with digests in place of the stored form and the fingerprint."""
+    listed = F.concat_ws(";", F.array_join("times", ","), F.array_join("codes", ","))
+    feature = F.concat(F.lit("pairs="), F.size("times"), F.lit(";frames="), F.size(F.array_distinct("times")), F.lit(";sha256="), F.sha2(listed, 256))
+    stored = (F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *stored, feature.alias("feature"))

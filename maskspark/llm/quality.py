@@ -2,15 +2,17 @@
 
 Base counts come from fixed definitions. The method adds one cutoff for each rule (a ratio of a
 text) and stratum. Labelled rows are a holdout in two halves by the id's crc32: the first half
-orders nothing and certifies nothing but proposes the cutoff that rejects most bad rows for the
-good ones it costs; the second half certifies it. Cutoffs are tested in a fixed sequence, from
-the proposed one to laxer ones; each test is the exact binomial tail P(Bin(n, RISK) <= k) <= level,
-with n good rows of the stratum and k of them rejected. The level is DELTA over all rules and
-strata (Bonferroni) and over the tests of a sequence, so with probability 1 - DELTA every cutoff
-in force rejects at most the share RISK of good rows of its stratum; the rules of a stratum
-together reject at most the sum of their shares. A cutoff holds only in the
-stratum whose own rows certified it: where nothing can be certified, the rule rejects nothing, so
-the bad rows of a stratum with few labels stay unless a base rule rejects them.
+certifies nothing but proposes, for each rule, the cutoff that rejects most bad rows for the good
+ones it costs, and orders the steps towards all proposed cutoffs by the good rows they cost there,
+from cutoffs that reject nothing to stricter ones. The second half tests these steps in that fixed
+sequence and stops at the first that fails: each test is the exact binomial tail
+P(Bin(n, RISK) <= k) <= DELTA / strata, with n good rows of the stratum and k of them rejected,
+counted once for each rule that rejects them, so no fewer than the rules reject together. A
+sequence that ends at its first failure needs no correction of its own, strata share DELTA
+(Bonferroni); so with probability 1 - DELTA the rules together reject at most the share RISK of
+good rows in every stratum. A cutoff holds only in the stratum whose own rows certified it: where
+nothing can be certified, the rules reject nothing, so the bad rows of a stratum with few labels
+stay unless a base rule rejects them.
 
 Edge cases. Null text counts as without words: n_words 0, which fails the base rule. Null strata
 form one stratum. Labels of an id that disagree count as bad; labels without text are ignored.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from maskspark.llm.common import WORD_GAP, let, materialize, remainder
 
-#: Share of good rows that one rule may reject, and the chance that any cutoff breaks it.
+#: Share of a stratum's good rows that the rules together may reject, and the chance that any stratum breaks it.
 RISK, DELTA = 0.01, 0.05
 #: Cutoffs of a rule: this many steps of its range (fixed grids, so histograms are bounded).
 GRID = 64
@@ -47,7 +49,7 @@ RULES = {
     "marks": ("n_marks", "word_chars", 0.64),
 }
 #: Good rows in the certifying half below which no test can pass, even one with nothing rejected and no other stratum.
-LEAST_GOOD = math.ceil(math.log(DELTA / len(RULES)) / math.log1p(-RISK))
+LEAST_GOOD = math.ceil(math.log(DELTA) / math.log1p(-RISK))
 
 
 def counts(text: Column) -> dict[str, Column]:
@@ -112,28 +114,34 @@ def binomial_tail(n: int, k: int, p: float) -> float:
     return min(1.0, math.exp(high) * math.fsum(math.exp(x - high) for x in top))
 
 
-def certified(cells: list[tuple[int, int, int, int]], tests: int, risk: float = RISK, delta: float = DELTA) -> int | None:
-    """The step of the grid from which a rule rejects, or None. cells: (step, half, bad, rows) of one rule and stratum; tests: rules times strata."""
-    proposing, good, above = [[0, 0] for _ in range(GRID + 1)], 0, [0] * (GRID + 1)
-    for step, half, bad, n in cells:
+def certified(cells: list[tuple[str, int, int, int, int]], strata: int, risk: float = RISK, delta: float = DELTA) -> dict[str, int]:
+    """rule -> step of the grid from which it rejects, for one stratum. cells: (rule, step, half, bad, rows); strata: how many are tested."""
+    proposing = {rule: [[0, 0] for _ in range(GRID + 1)] for rule, *_ in cells}
+    certifying = {rule: [0] * (GRID + 1) for rule in proposing}
+    for rule, step, half, bad, n in cells:
         if half:
-            above[step] += 0 if bad else n
-            good += 0 if bad else n
+            certifying[rule][step] += 0 if bad else n
         else:
-            proposing[step][bad] += n
-    best, proposed, lost, won = 0.0, None, 0, 0
-    for step in range(GRID, 0, -1):
-        lost, won = lost + proposing[step][0], won + proposing[step][1]
-        if won - PRICE * lost > best:
-            best, proposed = won - PRICE * lost, step
-    if proposed is None:
-        return None
-    for step in range(proposed, GRID + 1):
-        k = sum(above[step:])
-        # k far over n * risk cannot pass; the sum would be long
-        if k <= good * risk and binomial_tail(good, k, risk) <= delta / tests / (GRID + 1 - proposed):
-            return step
-    return None
+            proposing[rule][step][bad] += n
+    path = []
+    for rule, held in proposing.items():
+        best, reached, lost, won, steps = 0.0, 0, 0, 0, []
+        for step in range(GRID, 0, -1):
+            lost, won = lost + held[step][0], won + held[step][1]
+            steps.append((lost, rule, -step))
+            if won - PRICE * lost > best:
+                best, reached = won - PRICE * lost, len(steps)
+        path += steps[:reached]
+    good = sum(next(iter(certifying.values()), []))  # each row has a cell of every rule
+    found: dict[str, int] = {}
+    k = 0
+    for _, rule, step in sorted(path):
+        k += certifying[rule][-step]
+        # k over n * risk cannot pass; the sum would be long
+        if k > good * risk or binomial_tail(good, k, risk) > delta / strata:
+            break
+        found[rule] = -step
+    return found
 
 
 def _step(rule: str) -> Column:
@@ -150,12 +158,11 @@ def learn(counted: DataFrame, labels: DataFrame, stratum: str) -> dict[str, dict
     judges = F.sum(F.when((F.col("half") == 1) & (F.col("bad") == 0) & (F.col("rule") == next(iter(RULES))), F.col("count")).otherwise(0))
     strata = cells.groupBy("stratum").agg(judges.alias("good"), F.collect_list(F.struct("rule", "step", "half", "bad", "count")).alias("cells"))  # at most rules * grid * 4
     strata = materialize(strata, "quality-cells").where(F.col("good") >= LEAST_GOOD)
-    tests = len(RULES) * strata.count()
+    tested = strata.count()
     found: dict[str, dict[str, int]] = {r: {} for r in RULES}
     for row in strata.toLocalIterator():
-        for rule in RULES:
-            if (step := certified([(c.step, c.half, c.bad, c["count"]) for c in row.cells if c.rule == rule], tests)) is not None:
-                found[rule][row.stratum] = step
+        for rule, step in certified([(c.rule, c.step, c.half, c.bad, c["count"]) for c in row.cells], tested).items():
+            found[rule][row.stratum] = step
     return found
 
 

@@ -45,9 +45,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from maskspark.llm.media import media_columns
+    from maskspark.llm.media import digests, media_columns
 
-    return media_columns(table(spark, sf_dir, "documents"))
+    return digests(media_columns(table(spark, sf_dir, "documents")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from maskspark.llm.media import FRAME, HOP, fingerprints, load, media_columns, payload_of, store
+from maskspark.llm.media import BANDS, FAN, FRAME, HOP, REACH, digests, fingerprints, load, media_columns, payload_of, store
 
 
 def test_payload_and_store():
@@ -34,14 +34,44 @@ def test_a_tone_peaks_at_its_bin():
     assert 100 in np.flatnonzero(bins)
 
 
+def naive_fingerprint(payload):
+    """Peaks and pairs by loops, from a transform written as its sum."""
+    x = np.frombuffer(payload, np.uint8).astype(np.float64) - 128
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / (FRAME - 1))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(FRAME // 2 + 1), np.arange(FRAME)) / FRAME)
+    power = [abs(turn @ (x[at : at + FRAME] * hann)) ** 2 for at in range(0, len(x) - FRAME + 1, HOP)]
+    best = [[max(range(a, b), key=lambda i: p[i]) for a, b in zip(BANDS, BANDS[1:], strict=False)] for p in power]
+    strength = [[p[i] for i in row] for p, row in zip(power, best, strict=True)]
+    peaks = []
+    for t, row in enumerate(best):
+        for k, f in enumerate(row):
+            before = strength[t - 1][k] if t else 0
+            after = strength[t + 1][k] if t + 1 < len(best) else 0
+            if strength[t][k] > before and strength[t][k] >= after:
+                peaks.append((t, f))
+    pairs = [(t, f << 16 | g << 6 | u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + FAN] if u - t <= REACH]
+    return sorted(pairs)
+
+
+def test_fingerprints_equal_a_naive_transform():
+    r = np.random.default_rng(4)
+    for frames in (1, 2, 5, 35):
+        payload = r.integers(0, 256, frames * FRAME).astype(np.uint8).tobytes()  # no padding, whose flat spectrum ties
+        times, codes = fingerprints([payload])[0]
+        assert list(zip(times.tolist(), codes.tolist(), strict=True)) == naive_fingerprint(payload)
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "é" * 400), (4, "é" * 400), (None, "x" * 300000)]
-    got = {r.doc_id: r for r in media_columns(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()}
+    made = media_columns(spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, media string, times int")).collect()
+    told = {r.doc_id: r for r in digests(media_columns(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    got = {r.doc_id: r for r in made}
     for doc, text in rows:
         raw = (text or "").encode()
-        p, r = payload_of(raw), got[doc]
+        p, r, d = payload_of(raw), got[doc], told[doc]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest())
-        assert len(r.times) == len(r.codes)
-    assert got[1][1:] == got[2][1:] and got[3][1:] == got[4][1:]
+        assert load(bytes(r.media)) == p and list(zip(r.times, r.codes, strict=True)) == list(zip(*(x.tolist() for x in fingerprints([p])[0]), strict=True))
+        assert (d.media_bytes, d.media_sha256, d[1:5]) == (len(r.media), hashlib.sha256(r.media).hexdigest(), r[1:5])
+        assert d.feature.startswith(f"pairs={len(r.times)};frames={len(set(r.times))};sha256=")
+    assert got[1][1:] == got[2][1:] and told[3][1:] == told[4][1:] and told[1][1:] == told[2][1:]
     assert media_columns(spark.createDataFrame([], "doc_id long, text string")).collect() == []

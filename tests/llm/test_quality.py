@@ -41,13 +41,40 @@ def test_tail(n, k, p):
 
 
 def test_certified():
-    clean = [(0, h, 0, 3000) for h in (0, 1)]
-    bad = [(40, h, 1, 200) for h in (0, 1)]
-    step = certified(clean + bad, tests=30)
+    clean = [("a", 0, h, 0, 3000) for h in (0, 1)]
+    bad = [("a", 40, h, 1, 200) for h in (0, 1)]
+    step = certified(clean + bad, strata=30).get("a")
     assert step is not None and 0 < step <= 40
-    assert certified(clean + bad + [(40, 1, 0, 200)], tests=30) is None or certified(clean + bad + [(40, 1, 0, 200)], tests=30) > 40
-    assert certified([(0, 0, 0, 20), (0, 1, 0, 20), *bad], tests=30) is None  # too few rows to certify
-    assert certified([], tests=1) is None and GRID > 0
+    assert certified([*clean, *bad, ("a", 40, 1, 0, 200)], strata=30).get("a", GRID + 1) > 40
+    assert certified([("a", 0, 0, 0, 20), ("a", 0, 1, 0, 20), *bad], strata=30) == {}  # too few rows to certify
+    assert certified([], strata=1) == {} and GRID > 0
+
+
+def test_a_sequence_needs_no_correction_for_its_length():
+    bad = [("a", 5, h, 1, 200) for h in (0, 1)]
+    assert certified([("a", 0, 0, 0, 299), ("a", 0, 1, 0, 299), *bad], strata=1) == {"a": 5}
+    assert certified([("a", 0, 0, 0, 298), ("a", 0, 1, 0, 298), *bad], strata=1) == {}
+    assert certified([("a", 0, 0, 0, 299), ("a", 0, 1, 0, 299), *bad], strata=2) == {}
+
+
+def test_rules_share_one_risk():
+    """Each rule rejects 8 of 2,500 good rows, which a test passes; two of them together lose too many."""
+    assert binomial_tail(2500, 8, 0.01) <= 0.05 < binomial_tail(2500, 24, 0.01)
+    one = lambda rule: [(rule, 0, 0, 0, 2500), (rule, 0, 1, 0, 2492), (rule, 9, 1, 0, 8), *((rule, 9, h, 1, 900) for h in (0, 1))]
+    assert certified(one("a"), strata=1) == {"a": 9}
+    found = certified(one("a") + one("b") + one("c"), strata=1)
+    assert found["a"] == found["b"] == 9 and found["c"] == 10
+
+
+def test_random_labels_keep_the_bound():
+    """Over many draws of a rule that rejects just more than RISK of good rows, few certify it."""
+    r = random.Random(3)
+    broken = 0
+    for _ in range(300):
+        k = sum(r.random() < 0.0101 for _ in range(1500))
+        cells = [("a", 0, 0, 0, 1500), ("a", 0, 1, 0, 1500 - k), ("a", 30, 1, 0, k), *(("a", 30, h, 1, 500) for h in (0, 1))]
+        broken += certified(cells, strata=1).get("a", GRID) <= 30
+    assert broken <= 300 * 0.05 + 3 * math.sqrt(300 * 0.05 * 0.95)
 
 
 def test_false_rejection_is_limited(spark):
@@ -88,3 +115,17 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {x.doc_id: x.kept for x in judge(docs, none).collect()} == {1: False, None: True}
     assert judge(docs.limit(0), none).collect() == []
+
+
+def test_repeated_rows_ties_and_long_texts(spark):
+    """Repeated rows each give a row and count twice; rows that sit on a cutoff are all rejected alike."""
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 5 == 0
+        rows += [(i, " ".join(f"w{r.randrange(9999)}" for _ in range(60)) + ("#" * 120 if bad else ""), None)] * 2
+        labels.append((i, int(not bad)))
+    rows.append((9999, " ".join(str(i) for i in range(60000)), None))
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    kept = Counter((x.doc_id, x.kept) for x in got)
+    assert all(kept[i, bool(q)] == 2 for i, q in labels) and kept[9999, True] == 1
