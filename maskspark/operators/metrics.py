@@ -172,6 +172,19 @@ def system_metrics(system: System) -> DataFrame:
     return s.select("*", one).join(bits.select("*", one), "one").drop("one")
 
 
+def metric_deltas(before: System, after: System) -> DataFrame:
+    """One row: how relations, bits, rows and the ranks' least, greatest, mean and median changed. A system without ranks counts as 0."""
+    parts = []
+    for sign, system in ((-1, before), (1, after)):
+        side = F.lit(sign).alias("side")
+        m = system_metrics(system).select(side, "relations", "bits", "row_total")
+        r = rank_summary(system).where("arity is null").select(side, "min_rank", "max_rank", "mean_rank", "median_rank")
+        parts.append(m.join(r, "side", "left"))
+    both = parts[0].unionByName(parts[1])
+    change = lambda c: F.sum(F.col("side") * F.coalesce(F.col(c), F.lit(0))).alias(f"{c}_delta")
+    return both.agg(*(change(c) for c in both.columns if c != "side"))
+
+
 def best_by(df: DataFrame, *order, per: list[str]) -> DataFrame:
     """The first row of each group in the given order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where("_r = 1").drop("_r")

@@ -117,3 +117,34 @@ def best_partner(system: System, table_id: int) -> DataFrame:
     arity = F.coalesce("union_arity", F.col("arity") + mine.arity)
     n = F.coalesce("join_rows", F.col("row_count") * mine.row_count)
     return all_.select("table_id", arity.alias("union_arity"), n.alias("join_rows"), rank(n, arity).alias("rank")).orderBy("rank", "join_rows", "union_arity", "table_id")
+
+
+def neighbours(system: System) -> DataFrame:
+    """bit, other: each pair of bits in one relation, both ways, and each bit with itself."""
+    bits = system.relations.select(F.explode("bits").alias("bit"), "bits").select("bit", F.explode("bits").alias("other"))
+    return bits.distinct()
+
+
+#: How a central bit is chosen: expressions over its counts, in their order.
+CENTRAL_ORDERS = {
+    "fewest_related": (F.asc, "related"),
+    "most_related": (F.desc, "related"),
+    "derived_first": (F.desc, "known", "initial"),
+}
+
+
+def choose_central_bit(related: DataFrame, done: list[int], known: DataFrame, cap: int = 32, order: str = "fewest_related") -> Row | None:
+    """bit, initial, related, known of the best bit not done, or None: its neighbours at the start, those
+    not done, and those (other than itself) in known(bit). Bits with more than cap neighbours not done are
+    no candidates. fewest_related and most_related go by the neighbours not done, derived_first by the
+    known ones and then by those at the start, most first; the least bit breaks ties."""
+    direction, *by = CENTRAL_ORDERS[order]
+    left = related.where(~F.col("bit").isin(done)) if done else related
+    open_ = ~F.col("other").isin(done) if done else F.lit(True)
+    told = left.join(known.select(F.col("bit").alias("other"), F.lit(True).alias("is_known")), "other", "left")
+    counted = told.groupBy("bit").agg(
+        F.count(F.lit(1)).alias("initial"),
+        F.count_if(open_).alias("related"),
+        F.count_if(F.col("is_known").isNotNull() & (F.col("other") != F.col("bit"))).alias("known"),
+    )
+    return counted.where(F.col("related") <= cap).orderBy(*(direction(c) for c in by), "bit").limit(1).first()

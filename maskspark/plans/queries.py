@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskspark.functions.mask import project, project_to
 from maskspark.operators import bundles, cliques, decomposition, dependencies, equivalence, graph, joins, local_consistency, metrics, ranking, reductions
 from maskspark import wide
-from maskspark.plans import chains, fixture
+from maskspark.plans import chains, derived, fixture
 from maskspark.plans.pipeline import reduce_system, with_assignment
 from maskspark.sources import container
 from maskspark.storage import scratch
@@ -702,3 +702,37 @@ def rank_chain_steps(s: System) -> DataFrame:
 def subtable_roundtrip(s: System) -> DataFrame:
     log = decomposition.progressive_roundtrip(s.only(_one(s, 11)))
     return s.relations.sparkSession.createDataFrame([(len(x["sizes"]) + 1, x["factors"], x["extra_rows"], x["exact"]) for x in log], "largest int, factors long, extra_rows long, exact boolean")
+
+
+#: The bits whose mains the first four cycles keep, and the neighbours that the first main is projected to for the second.
+_DERIVED = (25, 20, (13, 20, 21, 23, 24, 30))
+
+
+def _derived_sql(relations=fixture.RELATIONS) -> str:
+    """Both kept mains, from columns of bits: relations that hold the bit, then those within them; the second also from the first."""
+    first, second, near = _DERIVED
+    taken: set[int] = set()
+
+    def parts(bit: int) -> tuple[list[int], set[int]]:
+        holding = [i for i, own in enumerate(relations) if bit in own and i not in taken]
+        union = {b for i in holding for b in relations[i]}
+        ids = holding + [i for i, own in enumerate(relations) if i not in taken and bit not in own and set(own) < union]
+        taken.update(ids)
+        return ids, union
+
+    columns = lambda i: "(select " + ", ".join(f'("row" >> {k}) & 1 as b{b}' for k, b in enumerate(relations[i])) + f" from r where table_id = {i}) x{i}"
+    listed = lambda bits: ", ".join(f"b{b}" for b in sorted(bits))
+    shown_ = lambda cycle, bits: f"select {cycle}::bigint as cycle, '{','.join(map(str, sorted(bits)))}' as bits, " + " + ".join(f"(b{b} << {k})" for k, b in enumerate(sorted(bits))) + f'::bigint as "row" from m{cycle}'
+    ids1, bits1 = parts(first)
+    ids2, bits2 = parts(second)
+    bits1, bits2 = bits1 - {first}, (bits2 | set(near)) - {second}
+    m1 = f"m1 as (select distinct {listed(bits1)} from {' natural join '.join(map(columns, ids1))})"
+    m2 = f"m2 as (select distinct {listed(bits2)} from {' natural join '.join(map(columns, ids2))} natural join (select distinct {listed(near)} from m1) d)"
+    return f", {m1}, {m2} {shown_(1, bits1)} union all {shown_(2, bits2)}"
+
+
+@query(_derived_sql(), perturbed=True)
+def derived_mains(s: System) -> DataFrame:
+    """The relations kept by four cycles that prefer bits near kept ones: two are kept, one bit is in no relation any longer, one main allows everything."""
+    run = derived.derived_main_cycles(s, 4, order="derived_first")
+    return run.mains.rows.join(run.mains.relations, "table_id").select(F.col("table_id").alias("cycle"), names("bits").alias("bits"), "row")

@@ -13,8 +13,11 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints/maskspark"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path of its own below the shared folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """A new path of its own below the shared folder. A cluster must name one: a folder of one machine would not do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    base = (base or LOCAL_SCRATCH).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
