@@ -28,6 +28,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Relations that a join broadcasts at most; more are dealt out.
+BROADCAST = 10_000
+
+
+def beside(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """df, which has one row for each relation, as the side of a join that is broadcast if there are few (by
+    counted, where that is cheaper to count) and else dealt out by key as the other side is. Spark would go by the
+    size of the files, of which repeated schemas take a hundredth of their memory, and gather any number on the driver."""
+    few = (df if counted is None else counted).limit(BROADCAST + 1).count() <= BROADCAST
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
     """df with dense numbers from 0 in the given order, counted over ranges. Rows that tie in the whole order get any of their numbers."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]

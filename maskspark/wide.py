@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskspark.functions.mask import bit_at, is_full, positions_of, put
 from maskspark.sources import container
-from maskspark.storage import cut
+from maskspark.storage import beside, cut
 from maskspark.system import System
 
 WORD = 64
@@ -90,7 +90,7 @@ class WideSystem:
     def sized(self) -> DataFrame:
         """table_id, bits, arity, row_count (distinct rows)."""
         n = self.rows.distinct().groupBy("table_id").agg(F.count(F.lit(1)).alias("row_count"))
-        return self.relations.join(n, "table_id", "left").select("table_id", "bits", F.size("bits").alias("arity"), F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"))
+        return self.relations.join(n.hint("merge"), "table_id", "left").select("table_id", "bits", F.size("bits").alias("arity"), F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"))
 
     def saved(self) -> WideSystem:
         return WideSystem(cut(self.relations, "wide-relations"), cut(self.rows, "wide-rows"))
@@ -100,26 +100,26 @@ class WideSystem:
         order = F.array_sort("bits")
         moved = self.relations.select("table_id", order.alias("sorted"), positions_of(order, F.col("bits")).alias("at"))
         relations = moved.groupBy(F.col("sorted").alias("bits")).agg(F.min("table_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        rows = self.rows.join(moved, "table_id").select("table_id", F.col("sorted").alias("bits"), project(F.col("words"), F.col("at")).alias("words")).distinct()
+        rows = self.rows.join(beside(moved, self.relations), "table_id").select("table_id", F.col("sorted").alias("bits"), project(F.col("words"), F.col("at")).alias("words")).distinct()
         held = rows.groupBy("bits", "words").agg(F.count(F.lit(1)).alias("held"))
         kept = held.join(relations, "bits").where("held = n").select(F.col("first").alias("table_id"), "words")
         return WideSystem(relations.select(F.col("first").alias("table_id"), "bits"), kept)
 
     def keep_bits(self, bits: DataFrame, keep: bool = True) -> WideSystem:
         """Each table projected to its bits that are (or, keep=False, are not) in bits(bit), in their order; rows distinct."""
-        named = self.relations.select("table_id", F.posexplode("bits").alias("pos", "bit")).join(bits.select("bit").distinct().withColumn("hit", F.lit(True)), "bit", "left")
+        named = self.relations.select("table_id", F.posexplode("bits").alias("pos", "bit")).join(beside(bits.select("bit").distinct().withColumn("hit", F.lit(True)), bits), "bit", "left")
         parts = named.where("hit" if keep else "hit is null").groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("p"))
-        new = self.relations.select("table_id").join(parts, "table_id", "left").select(
+        new = self.relations.select("table_id").join(parts.hint("merge"), "table_id", "left").select(
             "table_id",
             F.coalesce(F.transform("p", lambda x: x["bit"]), F.array().cast("array<long>")).alias("bits"),
             F.coalesce(F.transform("p", lambda x: x["pos"]), F.array().cast("array<int>")).alias("at"),
         )
-        rows = self.rows.join(new, "table_id").select("table_id", project(F.col("words"), F.col("at")).alias("words")).distinct()
+        rows = self.rows.join(beside(new, self.relations), "table_id").select("table_id", project(F.col("words"), F.col("at")).alias("words")).distinct()
         return WideSystem(new.select("table_id", "bits"), rows)
 
     def without(self, ids: DataFrame) -> WideSystem:
         drop = ids.select("table_id")
-        return WideSystem(self.relations.join(drop, "table_id", "left_anti"), self.rows.join(drop, "table_id", "left_anti"))
+        return WideSystem(self.relations.join(beside(drop), "table_id", "left_anti"), self.rows.join(beside(drop), "table_id", "left_anti"))
 
     def narrow(self) -> System:
         """The same as a system of masks; an error if a table has more than 63 bits."""
@@ -139,13 +139,13 @@ def verify_projections(source: WideSystem, projected: WideSystem) -> DataFrame:
     """table_id, exact_rows, projected_rows, missing, extra, matches, tautology: whether each relation of
     projected is exactly the projection of the source's relation of the same id to its bits, which
     must be the source's own order of them. Rows are compared by one full join of all relations."""
-    pairs = projected.relations.join(source.relations.select("table_id", F.col("bits").alias("whole")), "table_id")
+    pairs = projected.relations.join(source.relations.select("table_id", F.col("bits").alias("whole")).hint("merge"), "table_id")
     ordered = F.filter("whole", lambda b: F.array_contains("bits", b)) == F.col("bits")
     checked = pairs.select("table_id", F.when(ordered, F.col("bits")).otherwise(F.raise_error(F.lit("the projection's bits are not the source's")).cast("array<long>")).alias("bits"), positions_of(F.col("bits"), F.col("whole")).alias("at"))
-    want = source.rows.join(checked, "table_id").select("table_id", project(F.col("words"), F.col("at")).alias("words")).distinct().withColumn("wanted", F.lit(1))
+    want = source.rows.join(beside(checked, projected.relations), "table_id").select("table_id", project(F.col("words"), F.col("at")).alias("words")).distinct().withColumn("wanted", F.lit(1))
     have = projected.rows.select("table_id", "words").distinct().withColumn("found", F.lit(1))
     each = want.join(have, ["table_id", "words"], "full").groupBy("table_id").agg(F.count("wanted").alias("exact_rows"), F.count("found").alias("projected_rows"), F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("wanted").isNull()).alias("extra"))
-    whole = checked.select("table_id", F.size("bits").alias("arity")).join(each, "table_id", "left").na.fill(0)
+    whole = checked.select("table_id", F.size("bits").alias("arity")).join(each.hint("merge"), "table_id", "left").na.fill(0)
     return whole.select("table_id", "exact_rows", "projected_rows", "missing", "extra", ((F.col("missing") == 0) & (F.col("extra") == 0)).alias("matches"), is_full(F.col("exact_rows"), F.col("arity")).alias("tautology"))
 
 
@@ -167,7 +167,7 @@ def write_containers(system: WideSystem, path: str, overwrite: bool = True) -> N
     turned = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))
     held = system.rows.groupBy("table_id").agg(F.array_sort(F.collect_set(F.struct(turned(word(2)).alias("high"), turned(word(1)).alias("low")))).alias("both"))
     fits = F.when(F.size("bits") <= 128, F.col("bits")).otherwise(F.raise_error(F.lit("a table has more than 128 bits")).cast("array<long>"))
-    packed = system.relations.select("table_id", fits.alias("bits")).join(held, "table_id", "left").withColumn("both", F.coalesce("both", F.array().cast("array<struct<high:long,low:long>>")))
+    packed = system.relations.select("table_id", fits.alias("bits")).join(held.hint("merge"), "table_id", "left").withColumn("both", F.coalesce("both", F.array().cast("array<struct<high:long,low:long>>")))
     ordered = packed.repartitionByRange(F.size("bits"), "bits", "table_id").sortWithinPartitions(F.size("bits"), "bits", "table_id")
     records = ordered.select("bits", F.transform("both", lambda x: turned(x["low"])).alias("rows"), F.transform("both", lambda x: turned(x["high"])).alias("rows_hi"))
     records.write.format(container.ContainerSource.name()).mode("overwrite" if overwrite else "append").save(path)
@@ -189,12 +189,12 @@ def write_json(system: WideSystem, path: str) -> None:
     unsigned = F.when(F.col("words")[0] >= 0, F.col("words")[0].cast("decimal(20,0)")).otherwise(F.col("words")[0].cast("decimal(20,0)") + turn)
     fits = F.when(F.size("bits") <= WORD, F.col("bits")).otherwise(F.raise_error(F.lit("a table has more than 64 bits")).cast("array<long>"))
     rows = system.rows.select("table_id", unsigned.cast("decimal(20,0)").alias("row")).groupBy("table_id").agg(F.array_sort(F.collect_set("row")).alias("rows"))
-    packed = system.relations.select("table_id", fits.alias("bits")).join(rows, "table_id", "left")
+    packed = system.relations.select("table_id", fits.alias("bits")).join(rows.hint("merge"), "table_id", "left")
     packed.select(F.coalesce("rows", F.array().cast("array<decimal(20,0)>")).alias("rows"), "bits").write.mode("overwrite").json(path)
 
 
 def texts(system: WideSystem) -> DataFrame:
     """table_id, row: each row as its bits in order, as a text of 0 and 1."""
-    both = system.rows.join(system.relations, "table_id")
+    both = system.rows.join(beside(system.relations), "table_id")
     digits = F.transform(F.sequence(F.lit(0), F.size("bits") - 1), lambda i: bit_of(F.col("words"), i).cast("string"))
     return both.select("table_id", F.when(F.size("bits") == 0, "").otherwise(F.array_join(digits, "")).alias("row"))
