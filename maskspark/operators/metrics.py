@@ -37,16 +37,29 @@ def rank_signatures(system: System, top: int = 10) -> DataFrame:
 
 
 def zero_collapse(system: System) -> DataFrame:
-    """For each table and bit: rows before and after the bit is set to 0 everywhere, the rows that fall together, and their share."""
-    cell = system.rows.join(system.schema, "table_id")
-    masked = F.col("row").bitwiseAND(F.bitwise_not(put(F.lit(1), F.col("pos"))))
-    seen = cell.select("table_id", "pos", "bit", masked.alias("masked")).groupBy("table_id", "pos", "bit", "masked").agg(F.count(F.lit(1)).alias("n"))
-    m = seen.groupBy("table_id", "pos", "bit").agg(F.sum("n").alias("before"), F.count(F.lit(1)).alias("after"))
-    m = system.schema.join(m.drop("bit"), ["table_id", "pos"], "left").na.fill(0, ["before", "after"])
+    """For each table and bit: rows before and after the bit is set to 0 everywhere, the rows that fall together, and their share.
+    64 rows that differ in their lowest 6 bits only are one word, a bit for each row that occurs: below, a bit set to 0
+    moves a word's bits; above, it puts words one on another. So no row is repeated for each of its bits."""
+    chunk = F.call_function("shiftrightunsigned", F.col("row"), F.lit(6))
+    word = F.bit_or(put(F.lit(1), F.col("row").bitwiseAND(F.lit(63))))
+    words = system.rows.groupBy("table_id", chunk.alias("chunk")).agg(word.alias("word"), F.count("row").alias("n"))
+    below = lambda p: F.bit_count(F.col("word").bitwiseOR(F.call_function("shiftrightunsigned", F.col("word"), F.lit(1 << p))).bitwiseAND(F.lit(_ZERO[p])))
+    low = words.groupBy("table_id").agg(F.sum("n").alias("before"), F.array(*(F.sum(below(p)) for p in range(6))).alias("below"))
+    tall = words.join(system.relations.where(F.size("bits") > 6).hint("merge"), "table_id").select("table_id", "chunk", "word", F.explode(F.sequence(F.lit(6), F.size("bits") - 1)).alias("pos"))
+    met = tall.groupBy("table_id", "pos", F.col("chunk").bitwiseAND(F.bitwise_not(put(F.lit(1), F.col("pos") - 6))).alias("chunk")).agg(F.bit_or("word").alias("word"))
+    high = met.groupBy("table_id", "pos").agg(F.sum(F.bit_count("word")).alias("above"))
+    cell = system.relations.join(low.hint("merge"), "table_id", "left").select("table_id", F.posexplode("bits").alias("pos", "bit"), "before", "below")
+    m = cell.join(high.hint("merge"), ["table_id", "pos"], "left")
+    after = F.coalesce(F.when(F.col("pos") < 6, F.get("below", F.col("pos"))).otherwise(F.col("above")), F.lit(0).cast("long"))
+    m = m.select("table_id", "pos", "bit", F.coalesce("before", F.lit(0).cast("long")).alias("before"), after.alias("after"))
     m = m.withColumn("collapsed", F.col("before") - F.col("after"))
     return m.withColumn("ratio", F.when(F.col("before") > 0, F.col("collapsed") / F.col("before")).otherwise(0.0))
 
 
+#: Of the 64 rows of a word, those whose bit p is 0.
+_ZERO = [sum(1 << i for i in range(64) if not i >> p & 1) for p in range(6)]
+
+
 def zero_collapse_by_table(system: System) -> DataFrame:
     return zero_collapse(system).groupBy("table_id").agg(F.max("ratio").alias("max_ratio"), F.avg("ratio").alias("mean_ratio"), F.count(F.lit(1)).alias("bits"))
 
@@ -82,9 +95,12 @@ def mergeable_bits(system: System, cap: int = 16) -> DataFrame:
 
 
 def one_probabilities(system: System) -> DataFrame:
-    """table_id, pos, bit, p_one."""
-    cell = system.rows.join(system.schema, "table_id")
-    return cell.groupBy("table_id", "pos", "bit").agg(F.avg(bit_at(F.col("row"), F.col("pos"))).alias("p_one"))
+    """table_id, pos, bit, p_one. Ones are counted by place, one group for each table; its bits are named afterwards."""
+    most = system.relations.agg(F.max(F.size("bits"))).first()[0] or 0
+    ones = F.array(*(F.sum(bit_at(F.col("row"), F.lit(p))) for p in range(most))).cast("array<long>").alias("ones")
+    counts = system.rows.groupBy("table_id").agg(F.count("row").alias("n"), ones)
+    cell = system.relations.join(counts.hint("merge"), "table_id").select("table_id", F.posexplode("bits").alias("pos", "bit"), "n", "ones")
+    return cell.select("table_id", "pos", "bit", F.try_divide(F.get("ones", F.col("pos")), F.col("n")).alias("p_one"))
 
 
 PREDICTORS = ("uniform", "marginals", "histogram", "rank_left_right", "rank_right_left", "rank_low_high")
