@@ -7,50 +7,41 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.functions.kernel import latent_split
-from maskspark.functions.mask import bit_at, is_full, positions_of, project, project_each, put, scatter
+from maskspark.functions.kernel import latent_split, loose_parts
+from maskspark.functions.mask import bit_at, is_full, positions_of, project, project_each, put
 from maskspark.operators.joins import join_all, join_pairs
-from maskspark.storage import cut, numbered
+from maskspark.storage import beside, cut, numbered
 from maskspark.system import System
 
 _PAIRS = "table_id long, row_count long, left long, right long, left_rows long, right_rows long"
 
 
-def _mask_pairs(spark: SparkSession, arity: int, largest: int) -> DataFrame:
-    """arity, left < right: the pairs of position masks that together cover `arity` positions, the larger of `largest` positions."""
-    every = (1 << arity) - 1
-    one = spark.range(1, every).select(F.col("id").alias("one")).where(F.bit_count("one") == largest)
-    held = F.filter(F.sequence(F.lit(0), F.lit(arity - 1)), lambda p: bit_at(F.col("one"), p) == 1)
-    extra = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << largest) - 1).cast("long")))  # what the other mask shares with it
-    both = one.select("one", held.alias("held"), extra.alias("extra"))
-    other = both.select("one", F.lit(every).bitwiseXOR(F.col("one")).bitwiseOR(scatter(F.col("extra"), F.col("held"))).alias("other"))
-    smaller = (F.bit_count("other") < largest) | ((F.bit_count("other") == largest) & (F.col("one") < F.col("other")))
-    return other.where(smaller).select(F.lit(arity).alias("arity"), F.least("one", "other").alias("left"), F.greatest("one", "other").alias("right"))
-
-
-def _two_bits(spark: SparkSession, arity: int) -> DataFrame:
-    """arity, mask, a < b: each mask with each two of its positions."""
-    masks = spark.range(1, 1 << arity).select(F.lit(arity).alias("arity"), F.col("id").alias("mask"))
-    held = masks.select("*", F.explode(F.sequence(F.lit(0), F.lit(arity - 1))).alias("a")).where(bit_at(F.col("mask"), F.col("a")) == 1)
-    both = held.select("*", F.explode(F.sequence(F.col("a"), F.lit(arity - 1))).alias("b"))
-    return both.where((F.col("a") < F.col("b")) & (bit_at(F.col("mask"), F.col("b")) == 1))
-
-
-def _dependent_bits(todo: DataFrame, seen: DataFrame, arities: list[int]) -> DataFrame:
-    """table_id, shared, edges: for each set of positions, the pairs of other positions (as masks)
-    that depend on each other once the shared ones are known: some assignment of the shared
-    positions occurs with a set of values of the pair that is no product of two sets."""
-    pairs = reduce(DataFrame.unionByName, (_two_bits(todo.sparkSession, k) for k in arities))
-    each = todo.select("table_id", "arity").join(pairs, "arity").drop("arity").join(seen, ["table_id", "mask"])
-    edge = put(F.lit(1), F.col("a")).bitwiseOR(put(F.lit(1), F.col("b")))
-    state = put(F.lit(1), bit_at(F.col("part"), F.col("a")) * 2 + bit_at(F.col("part"), F.col("b"))).cast("int")
-    keyed = each.select("table_id", edge.alias("edge"), F.col("mask").bitwiseXOR(edge).alias("shared"), F.col("part").bitwiseAND(F.bitwise_not(edge)).alias("key"), state.alias("state"))
-    states = keyed.groupBy("table_id", "shared", "edge", "key").agg(F.bit_or("state").alias("states"))
-    tied = (F.bit_count("states") == 3) | F.col("states").isin(0b1001, 0b0110)
-    return states.groupBy("table_id", "shared").agg(F.collect_set(F.when(tied, F.col("edge"))).alias("edges"))
+def _loose_positions(packed: DataFrame) -> DataFrame:
+    """table_id, row_count, arity, shared, parts: for each set of positions (a mask) of small
+    relations (rows in one value), the other positions in parts (masks) that no dependent two positions connect, where
+    there are two parts or more. Two positions depend on each other, once the shared ones are known, if some
+    assignment of the shared positions occurs with a set of values of the two that is no product of two sets.
+    Relations of one arity are cubes of booleans, worked on together, as many as fit a bounded array."""
+
+    def run(batches):
+        for pdf in batches:
+            for arity, same in pdf.groupby(pdf["bits"].map(len)):
+                step = max(1, (1 << 20) >> int(arity))
+                for at in range(0, len(same), step):
+                    some = same.iloc[at : at + step]
+                    cubes = np.zeros((len(some), 1 << arity), bool)
+                    for i, rows in enumerate(some["rows"]):
+                        cubes[i, np.asarray(rows, np.int64)] = True
+                    ids, counts = some["table_id"].to_numpy(), some["rows"].map(len).to_numpy()
+                    for shared, parts in loose_parts(cubes, int(arity)):
+                        keep = [i for i, p in enumerate(parts) if len(p) > 1]
+                        if keep:
+                            yield pd.DataFrame({"table_id": ids[keep], "row_count": counts[keep], "arity": arity, "shared": shared, "parts": [parts[i] for i in keep]})
+
+    return packed.select("table_id", "bits", "rows").mapInPandas(run, "table_id long, row_count long, arity int, shared long, parts array<long>")
 
 
 def projection_splits(system: System, least: int = 3, most: int = 15) -> DataFrame:
@@ -60,31 +51,25 @@ def projection_splits(system: System, least: int = 3, most: int = 15) -> DataFra
     first masks. A relation never has more rows than such a join, so a pair is lossless just if the
     join is as large; its size follows from the counts of both projections by shared assignment.
     Largest arities are tried from half the bits upwards, and only relations without a split go on.
-    A split also splits each two bits of different sides, so only pairs that no dependent two bits
-    cross are counted. For one relation of k bits there are up to 3^k pairs of masks, and 2^k
-    projections of its rows."""
+    A split also splits each two bits of different sides, so its sides are unions of what dependent
+    bits connect; only such pairs are counted, of which a relation of k bits without dependent bits has up to 3^k."""
     spark = system.relations.sparkSession
-    todo = cut(system.sized.where(F.col("arity").between(least, most) & (F.col("row_count") > 0)).select("table_id", "arity", "row_count"), "unsplit")
-    arities = sorted(r.arity for r in todo.select("arity").distinct().collect())
+    packed = system.packed().where(F.size("bits").between(least, most) & (F.size("rows") > 0))
+    loose = cut(_loose_positions(packed), "loose")
+    arities = sorted(r.arity for r in loose.select("arity").distinct().collect())
     if not arities:
         return spark.createDataFrame([], _PAIRS)
-    masks = todo.select("table_id", F.explode(F.sequence(F.lit(1).cast("long"), put(F.lit(1), F.col("arity")) - 1)).alias("mask"))
-    seen = cut(masks.join(system.rows, "table_id").select("table_id", "mask", F.col("row").bitwiseAND(F.col("mask")).alias("part")).distinct(), "projections")
-    edges = cut(_dependent_bits(todo, seen, arities), "dependent")
+    choice = F.explode(F.sequence(F.lit(1), put(F.lit(1), F.size("parts") - 1).cast("int") - 1)).alias("choice")  # the last part is on the other side
+    one = F.aggregate(F.transform("parts", lambda p, i: p * bit_at(F.col("choice").cast("long"), i)), F.col("shared"), lambda x, y: x.bitwiseOR(y))
+    other = F.aggregate(F.transform("parts", lambda p, i: p * (1 - bit_at(F.col("choice").cast("long"), i))), F.col("shared"), lambda x, y: x.bitwiseOR(y))
     found = []
     for largest in range((arities[0] + 1) // 2, arities[-1]):
-        open_ = [k for k in arities if (k + 1) // 2 <= largest < k]
-        if not open_:
-            continue
-        made = reduce(DataFrame.unionByName, (_mask_pairs(spark, k, largest) for k in open_)).withColumn("shared", F.col("left").bitwiseAND(F.col("right")))
-        own = [F.bit_count(c) - F.bit_count("shared") for c in ("left", "right")]
-        few = F.size("edges") * 2 <= sum((n * (n - 1) for n in own), F.lit(0))  # as many as fit within the sides
-        across = F.exists("edges", lambda e: (e.bitwiseAND(F.col("left").bitwiseXOR(F.col("shared"))) != 0) & (e.bitwiseAND(F.col("right").bitwiseXOR(F.col("shared"))) != 0))
-        pairs = todo.join(edges, "table_id").join(made, ["arity", "shared"]).where(few & ~across)
-        sides = pairs.select("table_id", "row_count", "left", "right", F.explode(F.array(F.struct(F.col("left").alias("mask"), F.lit(True).alias("is_left")), F.struct(F.col("right").alias("mask"), F.lit(False).alias("is_left")))).alias("x"))
-        sides = sides.select("table_id", "row_count", "left", "right", "x.mask", "x.is_left").join(seen, ["table_id", "mask"])
-        key = F.col("part").bitwiseAND(F.col("left")).bitwiseAND(F.col("right")).alias("key")
-        counts = sides.groupBy("table_id", "row_count", "left", "right", key).agg(F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r"))
+        fits = loose.where(((F.col("arity") + 1) / 2 <= largest + 0.5) & (F.col("arity") > largest))
+        both = fits.select("table_id", "row_count", "shared", "parts", choice).select("table_id", "row_count", one.alias("one"), other.alias("other"))
+        pairs = both.where(F.greatest(F.bit_count("one"), F.bit_count("other")) == largest).select("table_id", "row_count", F.least("one", "other").alias("left"), F.greatest("one", "other").alias("right"))
+        each = pairs.join(system.rows.hint("merge"), "table_id")
+        parts = [F.col("row").bitwiseAND(F.col(c)) for c in ("left", "right")]
+        counts = each.groupBy("table_id", "row_count", "left", "right", parts[0].bitwiseAND(F.col("right")).alias("key")).agg(*(F.size(F.collect_set(p)).cast("long").alias(n) for p, n in zip(parts, "lr", strict=True)))
         sizes = counts.groupBy("table_id", "row_count", "left", "right").agg(F.sum(F.col("l") * F.col("r")).alias("join_rows"), F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
         score = F.struct(
             (F.col("left_rows") + F.col("right_rows")).alias("rows"),
@@ -95,7 +80,7 @@ def projection_splits(system: System, least: int = 3, most: int = 15) -> DataFra
         best = sizes.where("join_rows = row_count").groupBy("table_id", "row_count").agg(F.min(score).alias("x"))
         best = cut(best.select("table_id", "row_count", *(f"x.{c}" for c in ("left", "right", "left_rows", "right_rows"))), "splits")
         found.append(best)
-        todo = cut(todo.join(best, "table_id", "left_anti"), "unsplit")
+        loose = loose.join(beside(best.select("table_id")), "table_id", "left_anti")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -158,20 +143,26 @@ def latent_factors(system: System, found: DataFrame) -> System:
     return System.unpacked(parts)
 
 
+def _rest(system: System, found: DataFrame) -> System:
+    """The relations that are not in found, of which there may be as many as relations."""
+    gone = beside(found.select("table_id"))
+    return System(system.relations.join(gone, "table_id", "left_anti"), system.rows.join(gone, "table_id", "left_anti"))
+
+
 def splits(system: System, least: int = 3, most: int = 15, canonical: bool = True) -> DataFrame:
     """The split of each relation of least..most bits: a lossless projection, else one by latent bits,
     else `none`. Projections are found for all relations at once; of the rest, each is one row of its task."""
     system = (system.canonical() if canonical else system).saved()
     found = cut(projection_splits(system, least, most), "splits")
-    known = found.join(system.relations, "table_id").select(
+    known = system.relations.join(beside(found), "table_id").select(
         "table_id", F.lit("projection").alias("kind"), named_by(F.col("left"), "bits").alias("left_bits"), named_by(F.col("right"), "bits").alias("right_bits"),
         F.lit(0).alias("latent_bits"), F.greatest(F.bit_count("left"), F.bit_count("right")).alias("max_arity"),
     )
-    hidden = cut(latent_splits(system.except_(found), least, most), "latent")
+    hidden = cut(latent_splits(_rest(system, found), least, most), "latent")
     by_latent = hidden.select("table_id", F.lit("latent").alias("kind"), "left_bits", "right_bits", "latent_bits", (F.greatest(F.size("left_bits"), F.size("right_bits")) + F.col("latent_bits")).alias("max_arity"))
     none = F.array().cast("array<long>")
     tried = system.sized.where(F.col("arity").between(least, most) & (F.col("row_count") > 0))
-    rest = tried.join(found, "table_id", "left_anti").join(hidden, "table_id", "left_anti").select("table_id", F.lit("none").alias("kind"), none.alias("left_bits"), none.alias("right_bits"), F.lit(0).alias("latent_bits"), F.col("arity").alias("max_arity"))
+    rest = tried.join(beside(found), "table_id", "left_anti").join(beside(hidden.select("table_id")), "table_id", "left_anti").select("table_id", F.lit("none").alias("kind"), none.alias("left_bits"), none.alias("right_bits"), F.lit(0).alias("latent_bits"), F.col("arity").alias("max_arity"))
     return known.unionByName(by_latent).unionByName(rest)
 
 
@@ -180,22 +171,22 @@ def split_coverage(system: System, least: int = 3, most: int = 15) -> DataFrame:
     rows that their factors need; `skipped` are relations outside least..most bits or without rows."""
     system = system.canonical().saved()
     found = cut(projection_splits(system, least, most), "splits")
-    hidden = cut(latent_splits(system.except_(found), least, most), "latent")
+    hidden = cut(latent_splits(_rest(system, found), least, most), "latent")
     after = found.select("table_id", F.lit("projection").alias("kind"), (F.col("left_rows") + F.col("right_rows")).alias("rows_after"))
     after = after.unionByName(hidden.select("table_id", F.lit("latent").alias("kind"), (F.size("left_rows") + F.size("right_rows")).cast("long").alias("rows_after")))
     tried = F.col("arity").between(least, most) & (F.col("row_count") > 0)
-    each = system.sized.join(after, "table_id", "left").select(F.coalesce("kind", F.when(tried, "none").otherwise("skipped")).alias("kind"), "arity", "row_count", F.coalesce("rows_after", "row_count").alias("rows_after"))
+    each = system.sized.join(after.hint("merge"), "table_id", "left").select(F.coalesce("kind", F.when(tried, "none").otherwise("skipped")).alias("kind"), "arity", "row_count", F.coalesce("rows_after", "row_count").alias("rows_after"))
     return each.groupBy("kind", "arity").agg(F.count(F.lit(1)).alias("relations"), F.sum("row_count").alias("rows_before"), F.sum("rows_after").alias("rows_after"))
 
 
 def subtables(system: System, k: int) -> System:
     """Every projection of every table to k of its bits; equal ones of one table once."""
-    cell = system.schema.select("table_id", F.array("bit").alias("chosen"))
+    cell = system.relations.select("table_id", "bits", F.explode("bits").alias("bit")).select("table_id", "bits", F.array("bit").alias("chosen"))
     for _ in range(k - 1):
-        nxt = system.schema.select("table_id", "bit")
-        cell = cell.join(nxt, "table_id").where(F.col("bit") > F.element_at("chosen", -1)).select("table_id", F.array_append("chosen", F.col("bit")).alias("chosen"))
-    named = cell.join(system.relations, "table_id").select(F.xxhash64("table_id", "chosen").alias("new"), "table_id", "chosen", positions_of(F.col("chosen"), F.col("bits")).alias("at"))
-    rows = named.join(system.rows, "table_id").select(F.col("new").alias("table_id"), project(F.col("row"), F.col("at")).alias("row")).distinct()
+        nxt = F.explode(F.filter("bits", lambda b: b > F.element_at("chosen", -1)))
+        cell = cell.select("table_id", "bits", "chosen", nxt.alias("bit")).select("table_id", "bits", F.array_append("chosen", F.col("bit")).alias("chosen"))
+    named = cell.select(F.xxhash64("table_id", "chosen").alias("new"), "table_id", "chosen", positions_of(F.col("chosen"), F.col("bits")).alias("at"))
+    rows = system.rows.join(beside(named, named), "table_id").select(F.col("new").alias("table_id"), project(F.col("row"), F.col("at")).alias("row")).distinct()
     return System(named.select(F.col("new").alias("table_id"), F.col("chosen").alias("bits")), rows)
 
 

@@ -28,8 +28,8 @@ def query(sql: str | None = None, family: bool = False, perturbed: bool = False,
         name = f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            made = fixture.family(spark, sf_dir) if family else fixture.system(spark, sf_dir, relations, perturbed)
-            return f(made.saved())  # the source relations are joined once, however often the operator reads the system
+            made = fixture.family(spark, sf_dir) if family else fixture.system(spark, sf_dir, relations, perturbed).saved()
+            return f(made)  # saved: the source relations are joined once, however often the operator reads the system
 
         QUERIES[name] = run
         if sql is not None:
@@ -406,9 +406,10 @@ def triangle_filter(s: System) -> DataFrame:
 @query('select s.table_id, a_.b as first, b_.b as second, count(distinct (("row" >> a_.pos) & 1) + 2 * (("row" >> b_.pos) & 1)) as row_count from (select distinct table_id from s) s join (select table_id, pos, bit as b from s) a_ using (table_id) join (select table_id, pos, bit as b from s) b_ on b_.table_id = s.table_id and a_.b < b_.b join r on r.table_id = s.table_id group by all', family=True)
 def subtables(s: System) -> DataFrame:
     found = decomposition.subtables(s, 2)
-    pairs = s.schema.select("table_id", F.col("bit").alias("first")).join(s.schema.select("table_id", F.col("bit").alias("second")), "table_id").where("first < second")
+    firsts = s.relations.select("table_id", "bits", F.explode("bits").alias("first"))
+    pairs = firsts.select("table_id", "first", F.explode(F.filter("bits", lambda b: b > F.col("first"))).alias("second"))
     ids = pairs.select(F.xxhash64("table_id", F.array("first", "second")).alias("new"), "table_id", "first", "second")
-    return ids.join(found.sized.select(F.col("table_id").alias("new"), "row_count"), "new").select("table_id", "first", "second", "row_count")
+    return ids.join(found.sized.select(F.col("table_id").alias("new"), "row_count").hint("merge"), "new").select("table_id", "first", "second", "row_count")
 
 
 _FD = ', md as (select table_id, arity, unnest(generate_series(1, (1 << arity) - 1)) as mask from t where arity <= 5), ms as (select *, bit_count(mask::bigint) as size from md)'

@@ -47,7 +47,7 @@ class System:
     def packed(self) -> DataFrame:
         """table_id, bits, rows (sorted): a table's rows in one value."""
         grouped = self.rows.groupBy("table_id").agg(F.array_sort(F.collect_set("row")).alias("rows"))
-        return self.relations.join(grouped, "table_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<long>")))
+        return self.relations.join(grouped.hint("merge"), "table_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast("array<long>")))
 
     @staticmethod
     def unpacked(packed: DataFrame) -> System:

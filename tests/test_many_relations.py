@@ -72,3 +72,48 @@ def test_subtables_name_their_bits_without_joins(spark, many):
         for i, a in enumerate(bits):
             want += [([a, b], sorted({(x >> i & 1) + 2 * (x >> j & 1) for x in rows})) for j, b in enumerate(bits) if j > i]
     assert found.local() == sorted(want, key=lambda t: (len(t[0]), t[0], t[1]))
+
+
+def test_loose_parts_against_pairs():
+    import itertools
+
+    import numpy as np
+
+    from maskspark.functions.kernel import loose_parts
+
+    r, arity = random.Random(4), 4
+    held = [sorted({r.randrange(16) for _ in range(r.randrange(1, 16))}) for _ in range(11)] + [list(range(16)), [5]]
+    cubes = np.zeros((len(held), 16), bool)
+    for i, rows in enumerate(held):
+        cubes[i, rows] = True
+    got = dict(loose_parts(cubes, arity))
+    assert set(got) == {s for s in range(16) if s.bit_count() <= 2}
+    for shared, parts in got.items():
+        free = [p for p in range(arity) if not shared >> p & 1]
+        for rows, found in zip(held, parts, strict=True):
+            want = [{p} for p in free]
+            for a, b in itertools.combinations(free, 2):
+                seen = {}
+                for x in rows:
+                    seen.setdefault(x & shared, set()).add((x >> a & 1, x >> b & 1))
+                if any(len(v) != len({x for x, _ in v}) * len({y for _, y in v}) for v in seen.values()):
+                    want = [w for w in want if not w & {a, b}] + [set().union(*(w for w in want if w & {a, b}))]
+            assert found == sorted(sum(1 << p for p in w) for w in want)
+
+
+def test_items_join_masks_only(spark):
+    from maskspark.plans import fixture
+
+    found = fixture.items(spark, "/root/testdata/sf0.001")
+    assert set(found.columns) == {"l_partkey", "mask"}
+    whole = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    for t, (a, b) in fixture._SOURCES.items():
+        whole = whole.join(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet"), a_equals(a, b))
+    want = whole.selectExpr("l_partkey", " | ".join(f"shiftleft(cast({p} as bigint), {i})" for i, p in enumerate(fixture.PREDICATES.values())) + " as mask")
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def a_equals(a, b):
+    from pyspark.sql import functions as F
+
+    return F.col(a) == F.col(b)
