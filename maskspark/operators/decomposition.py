@@ -149,21 +149,33 @@ def _rest(system: System, found: DataFrame) -> System:
     return System(system.relations.join(gone, "table_id", "left_anti"), system.rows.join(gone, "table_id", "left_anti"))
 
 
+def _shapes(system: System, least: int, most: int) -> tuple[DataFrame, System]:
+    """table_id, bits, arity, shape of each relation of least..most bits with rows; and the shapes, over positions
+    instead of bits: relations of one arity with the same rows have one, which has the least of their ids."""
+    packed = cut(system.packed().where(F.size("bits").between(least, most) & (F.size("rows") > 0)).select("table_id", "bits", F.size("bits").alias("arity"), "rows"), "packed")
+    shapes = cut(packed.groupBy("arity", "rows").agg(F.min("table_id").alias("shape")), "shapes")
+    of = cut(packed.join(beside(shapes), ["arity", "rows"]).select("table_id", "bits", "arity", "shape"), "of")
+    bits = F.sequence(F.lit(0).cast("long"), F.col("arity").cast("long") - 1)
+    return of, System.unpacked(shapes.select(F.col("shape").alias("table_id"), bits.alias("bits"), "rows")).saved()
+
+
 def splits(system: System, least: int = 3, most: int = 15, canonical: bool = True) -> DataFrame:
     """The split of each relation of least..most bits: a lossless projection, else one by latent bits,
-    else `none`. Projections are found for all relations at once; of the rest, each is one row of its task."""
+    else `none`. Relations of one arity with the same rows split alike, and are worked on once. Projections are
+    found for all of them at once; of the rest, each is one row of its task."""
     system = (system.canonical() if canonical else system).saved()
-    found = cut(projection_splits(system, least, most), "splits")
-    known = system.relations.join(beside(found), "table_id").select(
-        "table_id", F.lit("projection").alias("kind"), named_by(F.col("left"), "bits").alias("left_bits"), named_by(F.col("right"), "bits").alias("right_bits"),
-        F.lit(0).alias("latent_bits"), F.greatest(F.bit_count("left"), F.bit_count("right")).alias("max_arity"),
-    )
-    hidden = cut(latent_splits(_rest(system, found), least, most), "latent")
-    by_latent = hidden.select("table_id", F.lit("latent").alias("kind"), "left_bits", "right_bits", "latent_bits", (F.greatest(F.size("left_bits"), F.size("right_bits")) + F.col("latent_bits")).alias("max_arity"))
-    none = F.array().cast("array<long>")
-    tried = system.sized.where(F.col("arity").between(least, most) & (F.col("row_count") > 0))
-    rest = tried.join(beside(found), "table_id", "left_anti").join(beside(hidden.select("table_id")), "table_id", "left_anti").select("table_id", F.lit("none").alias("kind"), none.alias("left_bits"), none.alias("right_bits"), F.lit(0).alias("latent_bits"), F.col("arity").alias("max_arity"))
-    return known.unionByName(by_latent).unionByName(rest)
+    of, shapes = _shapes(system, least, most)
+    found = cut(projection_splits(shapes, least, most), "splits")
+    hidden = cut(latent_splits(_rest(shapes, found), least, most), "latent")
+    projected = found.select(F.col("table_id").alias("shape"), "left", "right")
+    latent = hidden.select(F.col("table_id").alias("shape"), "left_bits", "right_bits", "latent_bits")
+    each = of.join(beside(projected), "shape", "left").join(beside(latent), "shape", "left")
+    named = lambda mask, at: F.when(mask.isNotNull(), named_by(mask, "bits")).otherwise(F.coalesce(F.transform(at, lambda p: F.element_at("bits", p.cast("int") + 1)), F.array().cast("array<long>")))
+    kind = F.when(F.col("left").isNotNull(), "projection").when(F.col("latent_bits").isNotNull(), "latent").otherwise("none")
+    new = F.coalesce("latent_bits", F.lit(0))
+    sides = each.select("table_id", "arity", kind.alias("kind"), named(F.col("left"), F.col("left_bits")).alias("left_bits"), named(F.col("right"), F.col("right_bits")).alias("right_bits"), new.alias("latent_bits"))
+    wide = F.when(F.col("kind") == "none", F.col("arity")).otherwise(F.greatest(F.size("left_bits"), F.size("right_bits")) + F.col("latent_bits"))
+    return sides.select("table_id", "kind", "left_bits", "right_bits", "latent_bits", wide.alias("max_arity"))
 
 
 def split_coverage(system: System, least: int = 3, most: int = 15) -> DataFrame:

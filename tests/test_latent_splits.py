@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from maskspark.functions.kernel import latent_split
+from maskspark.operators import decomposition
 from maskspark.operators.decomposition import latent_factors, latent_splits, splits
 from maskspark.operators.joins import join_all
 from maskspark.system import System
@@ -113,3 +114,16 @@ def test_system_of_wide_sides(spark):
     for t, (bits, rows) in enumerate(held):
         both = factors.only(spark.createDataFrame([(2 * t,), (2 * t + 1,)], "table_id long"))
         assert join_all(both).keep_bits(spark.createDataFrame([(b,) for b in bits], "bit long")).local() == [(bits, rows)]
+
+
+@pytest.mark.parametrize("canonical", [True, False])
+def test_equal_rows_split_alike(spark, canonical):
+    """Relations with the same rows over other bits are worked on once, and each is named by its own bits."""
+    parity, product = [x for x in range(16) if x.bit_count() % 2 == 0], [0, 1, 6, 7]
+    held = [([1, 2, 3, 4], parity), ([5, 6, 7, 9], parity), ([3, 5, 8, 9], parity), ([1, 2, 3], product), ([4, 6, 8], product), ([1, 5, 9], [1, 2, 4]), ([2, 6, 8], [1, 2, 4]), ([1, 9], [0, 3]), ([1, 2, 9], [])]
+    system = System.of(spark, held)
+    got = {r.table_id: (r.kind, sorted({*r.left_bits, *r.right_bits}), r.latent_bits, r.max_arity) for r in splits(system, canonical=canonical).collect()}
+    kinds = {4: ("latent", 1, 3), 3: ("projection", 0, 2)}
+    want = {t: (kinds[len(b)][0], b, *kinds[len(b)][1:]) for t, (b, _) in enumerate(held[:5])} | {t: ("none", [], 0, 3) for t in (5, 6)}
+    assert got == want
+    assert sorted(r.table_id for r in decomposition._shapes(system, 3, 15)[1].relations.collect()) == [0, 3, 5]
